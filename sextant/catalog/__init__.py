@@ -8,6 +8,8 @@ from sextant.catalog.registry import ORACLES, QUERIES
 
 MODULES = (
     "texts",
+    "tabular",
+    "chunks",
 )
 
 

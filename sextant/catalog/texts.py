@@ -93,19 +93,20 @@ def normalize_cjk_lines(spark, sf_dir):
 @query(
     "join_unique_texts",
     "TXT3",
-    f"""WITH msgs AS (
-      SELECT conv_id, turn, {collapse_sql('text')} AS t FROM conversations),
-    keyed AS (SELECT *, lower(regexp_replace(t, '\\s+', '', 'g')) AS k FROM msgs WHERE t <> ''),
+    f"""WITH msgs AS (SELECT conv_id, turn, {collapse_sql('text')} AS t FROM conversations),
+    twice AS (
+      SELECT conv_id, t, turn * 2 AS slot FROM msgs WHERE t <> ''
+      UNION ALL SELECT conv_id, translate(t, 'aeio', 'AEIO'), turn * 2 + 1 FROM msgs WHERE t <> ''),
     firsts AS (
-      SELECT *, row_number() OVER (PARTITION BY conv_id, k ORDER BY slot) AS rn FROM (
-        SELECT conv_id, k, t, turn * 2 AS slot FROM keyed
-        UNION ALL SELECT conv_id, lower(k), upper(t), turn * 2 + 1 FROM keyed WHERE lower(upper(t)) = lower(t)))
-    SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY slot) AS text FROM firsts WHERE rn = 1 GROUP BY conv_id""",
+      SELECT *, row_number() OVER (
+        PARTITION BY conv_id, lower(regexp_replace(t, '\\s+', '', 'g')) ORDER BY slot) AS rn FROM twice),
+    tidy AS (SELECT conv_id, slot, {_line_rules('t')} AS t FROM firsts WHERE rn = 1)
+    SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY slot) AS text FROM tidy GROUP BY conv_id""",
 )
 def join_unique(spark, sf_dir):
-    # every message twice, the second time in upper case where that changes no letter
+    # every message is offered twice, the second time with other letter case
     msgs = table(spark, sf_dir, "conversations").select("conv_id", "turn", S.collapse("text").alias("t"))
-    pair = F.when(F.lower(F.upper("t")) == F.lower("t"), F.array("t", F.upper("t"))).otherwise(F.array("t"))
+    pair = F.array("t", F.translate("t", "aeio", "AEIO"))
     per_conv = msgs.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", pair.alias("texts")))).alias("m")
     )
