@@ -10,6 +10,8 @@ MODULES = (
     "texts",
     "tabular",
     "chunks",
+    "lexicon",
+    "searches",
 )
 
 
