@@ -281,7 +281,7 @@ norms AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM dims GROUP BY doc_id)"""
 @query(
     "hashed_embeddings",
     "UDF1",
-    f"""WITH {_EMBED} SELECT doc_id, dim, round(x / norm, 5) AS value FROM dims JOIN norms USING (doc_id)
+    f"""WITH {_EMBED} SELECT doc_id, dim, round(CAST(CAST(x / norm AS FLOAT) AS DOUBLE), 5) AS value FROM dims JOIN norms USING (doc_id)
     WHERE x <> 0 AND norm > 0""",
 )
 def hashed_embeddings(spark, sf_dir):
