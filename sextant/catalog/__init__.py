@@ -12,6 +12,7 @@ MODULES = (
     "chunks",
     "lexicon",
     "searches",
+    "hits",
 )
 
 
