@@ -13,6 +13,7 @@ MODULES = (
     "lexicon",
     "searches",
     "hits",
+    "quality",
 )
 
 

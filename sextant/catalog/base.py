@@ -17,11 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use all cores for text work when the scan has fewer splits than cores.
+
+    One small file is one split; a large table has enough splits and is left alone.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 # --- documents: one tenant, a knowledge base per language, a file per source ---
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.lit("main").alias("tenant_id"),
         F.col("lang").alias("kb_id"),
         F.col("doc_id").cast("string").alias("doc_id"),

@@ -33,10 +33,11 @@ def asked(spark, sf_dir):
 def overlap_hits(spark, sf_dir, min_chars: int):
     """Best child lines by shared words of at least ``min_chars`` characters."""
     kids = line_chunks(spark, sf_dir).filter("chunk_type = 'child'")
-    words = kids.select(
-        "tenant_id", "kb_id", "chunk_id", "parent_id", F.size(L.tokenize("text")).alias("n"),
-        F.explode(L.tokenize("text")).alias("token"),
-    ).filter(F.length("token") >= min_chars)
+    words = (
+        kids.select("tenant_id", "kb_id", "chunk_id", "parent_id", L.tokenize("text").alias("tokens"))
+        .select("tenant_id", "kb_id", "chunk_id", "parent_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+        .filter(F.length("token") >= min_chars)
+    )
     terms = questions(spark, sf_dir).select(
         "query_id", "tenant_id", "kb_id", F.explode(L.tokenize("query")).alias("token")
     ).filter(F.length("token") >= min_chars)
@@ -320,7 +321,7 @@ r_terms AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, list(DISTINCT term) AS terms FROM (
     SELECT item_id, term FROM all_terms UNION SELECT item_id, unnest({raw_sql('s')}) FROM spread) GROUP BY item_id),
 r_phrases AS (SELECT CAST(item_id AS VARCHAR) AS item_id, list(DISTINCT term) AS phrases FROM phrase_list GROUP BY item_id),
-overlaps AS (
+overlap_rows AS (
   SELECT r.*, round(least(1, 0.65 * len(list_filter(terms, lambda t: contains(lower(passage), t))) / len(terms)
     + 0.35 * least((len(list_intersect(terms, list_distinct({raw_sql('passage')}))) + 0.5 * len(list_filter(terms, lambda t: contains(lower(passage), t))))
         / greatest(sqrt(len(list_distinct({raw_sql('passage')}))), 1) / 3.0, 1)
@@ -343,7 +344,7 @@ def rerank_texts(spark, sf_dir):
     "RRK2",
     with_ctes(
         *_MERGED_CTES, _TEXTED, _OVERLAP_SCORE,
-        select="SELECT query_id, chunk_id, round(CAST(overlap AS DOUBLE), 6) AS overlap FROM overlaps",
+        select="SELECT query_id, chunk_id, round(CAST(overlap AS DOUBLE), 6) AS overlap FROM overlap_rows",
     ),
 )
 def lexical_overlap_scores(spark, sf_dir):
@@ -352,7 +353,7 @@ def lexical_overlap_scores(spark, sf_dir):
     return rows.select("query_id", "chunk_id", F.round(overlap, 6).alias("overlap"))
 
 
-_RERANKED = """limits AS (SELECT *, max(overlap) OVER (PARTITION BY query_id) AS top_overlap FROM overlaps WHERE position <= 40),
+_RERANKED = """limits AS (SELECT *, max(overlap) OVER (PARTITION BY query_id) AS top_overlap FROM overlap_rows WHERE position <= 40),
 blended AS (
   SELECT *, CASE WHEN top_overlap > 0 THEN round(0.45 * CASE WHEN max(score) OVER w = min(score) OVER w THEN 1
       ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END
@@ -384,7 +385,7 @@ def lexical_rerank(spark, sf_dir):
     "RRK4 RRK5",
     with_ctes(
         *_MERGED_CTES, _TEXTED, _OVERLAP_SCORE,
-        """windowed AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM overlaps WHERE position <= 40),
+        """windowed AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM overlap_rows WHERE position <= 40),
 supplied AS (
   SELECT *, CASE WHEN CAST(item_id AS BIGINT) % 2 = 0 THEN least(1, greatest(0, (length(query) % 17 + position * 7 % 11) / 20.0)) ELSE overlap END AS raw
   FROM windowed),

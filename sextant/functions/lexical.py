@@ -44,9 +44,13 @@ def cjk_ngrams(run: Column) -> Column:
 
 def index_tokens(value) -> Column:
     """Raw tokens followed by the n-grams of CJK runs, repeats kept."""
-    raw = raw_tokens(value)
-    runs = F.filter(raw, lambda t: t.rlike(CJK_RUN))
-    return F.concat(raw, F.flatten(F.transform(runs, cjk_ngrams)))
+
+    def with_ngrams(raw: Column) -> Column:
+        runs = F.filter(raw, lambda t: t.rlike(CJK_RUN))
+        return F.when(F.size(runs) == 0, raw).otherwise(F.concat(raw, F.flatten(F.transform(runs, cjk_ngrams))))
+
+    # the one-element array binds the raw tokens, so a text is scanned once
+    return F.element_at(F.transform(F.array(raw_tokens(value)), with_ngrams), 1)
 
 
 def tokenize(value) -> Column:

@@ -272,7 +272,7 @@ def scored_pairs(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     inside = matches.join(terms, [*SCOPE, "term"]).groupBy("query_id", *SCOPE, "chunk_id").agg(
         F.count("*").alias("inside")
     )
-    tokens = chunks.select(*SCOPE, "chunk_id", L.tokenize("text").alias("tokens"))
+    tokens = chunks.select(*SCOPE, "chunk_id", L.tokenize("text").alias("tokens"))  # read by two joins
     exact = (
         tokens.select(*SCOPE, "chunk_id", F.explode("tokens").alias("term"))
         .join(terms, [*SCOPE, "term"])
