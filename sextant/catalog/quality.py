@@ -8,7 +8,7 @@ from sextant.catalog.base import with_ctes
 from sextant.catalog.hits import _CTES, gold, overlap_hits
 from sextant.catalog.registry import query
 from sextant.catalog.texts import collapse_sql
-from sextant.catalog.base import line_chunks
+from sextant.catalog.base import line_chunks, questions
 from sextant.operators import evaluation as E
 from sextant.operators.ranking import top_per_group
 
@@ -25,7 +25,7 @@ def _hits(spark, sf_dir):
 
 def _errors(spark, sf_dir):
     """Queries of one knowledge base never got a result."""
-    return gold(spark, sf_dir).filter("kb_id <> 'fr'").select("query_id", F.lit("").alias("error"))
+    return questions(spark, sf_dir).filter("kb_id <> 'fr'").select("query_id", F.lit("").alias("error"))
 
 
 def _answered(spark, sf_dir):
