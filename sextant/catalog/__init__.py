@@ -14,6 +14,9 @@ MODULES = (
     "searches",
     "hits",
     "quality",
+    "records",
+    "stores",
+    "streams",
 )
 
 

@@ -135,12 +135,12 @@ def resolve_knowledge_bases(requests: DataFrame, bases: DataFrame) -> tuple[Data
     single = cleaned.filter(F.size("ids") == 0)
     everything = single.filter(F.lower("ref") == "all").join(known, "tenant_id").select("request_id", "tenant_id", "kb_id")
     one = single.filter(F.lower("ref") != "all")
-    by_id = one.join(known, (one.tenant_id == known.tenant_id) & (one.ref == known.kb_id)).select(
-        one.request_id, one.tenant_id, known.kb_id
+    by_id = one.withColumnRenamed("ref", "kb_id").join(known, ["tenant_id", "kb_id"]).select(
+        "request_id", "tenant_id", "kb_id"
     )
     unmatched = one.join(by_id.select("request_id"), "request_id", "left_anti")
-    named = unmatched.join(known, (unmatched.tenant_id == known.tenant_id) & (unmatched.ref == known["name"])).select(
-        unmatched.request_id, unmatched.tenant_id, known.kb_id
+    named = unmatched.withColumnRenamed("ref", "name").join(known, ["tenant_id", "name"]).select(
+        "request_id", "tenant_id", "kb_id"
     )
     by_name = named.groupBy("request_id", "tenant_id").agg(F.min(F.struct(F.length("kb_id"), "kb_id")).alias("k")).select(
         "request_id", "tenant_id", F.col("k.kb_id").alias("kb_id")
