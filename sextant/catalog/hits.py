@@ -349,8 +349,8 @@ def rerank_texts(spark, sf_dir):
 )
 def lexical_overlap_scores(spark, sf_dir):
     rows = texted(spark, sf_dir)
-    overlap = R.lexical_overlap(F.col("query"), R.rerank_text())
-    return rows.select("query_id", "chunk_id", F.round(overlap, 6).alias("overlap"))
+    featured = rows.join(R.query_features(rows, M.KEY), M.KEY)
+    return featured.select("query_id", "chunk_id", F.round(R.lexical_overlap(R.rerank_text()), 6).alias("overlap"))
 
 
 _RERANKED = """limits AS (SELECT *, max(overlap) OVER (PARTITION BY query_id) AS top_overlap FROM overlap_rows WHERE position <= 40),

@@ -117,17 +117,20 @@ def rerank_terms(query) -> Column:
     return F.array_distinct(F.concat(phrase_terms(query), tokenize(query), tokenize(spread)))
 
 
-def keyword_score(terms: Column, text) -> Column:
+def score_tokens(terms: Column, tokens: Column, lowered: Column) -> Column:
     """Token hits plus half a point per substring hit, over the root of the token count."""
-    body = F.coalesce(_col(text), F.lit(""))
+    exact = F.size(F.array_intersect(F.array_distinct(terms), tokens))
+    inside = F.size(F.filter(terms, lambda t: F.contains(lowered, t)))
+    root = F.greatest(F.sqrt(F.size(tokens).cast("double")), F.lit(1.0))
+    return F.when(F.size(tokens) == 0, F.lit(0.0)).otherwise((exact + inside * F.lit(0.5)) / root)
 
-    def score(tokens: Column) -> Column:
-        exact = F.size(F.array_intersect(F.array_distinct(terms), tokens))
-        inside = F.size(F.filter(terms, lambda t: F.contains(F.lower(body), t)))
-        root = F.greatest(F.sqrt(F.size(tokens).cast("double")), F.lit(1.0))
-        return F.when(F.size(tokens) == 0, F.lit(0.0)).otherwise((exact + inside * F.lit(0.5)) / root)
 
-    return F.element_at(F.transform(F.array(tokenize(body)), score), 1)
+def keyword_score(terms: Column, text) -> Column:
+    """:func:`score_tokens` of a text; tokenise once with it where a text meets many queries."""
+    body = F.coalesce(_col(text), F.lit(""))
+    return F.element_at(
+        F.transform(F.array(tokenize(body)), lambda tokens: score_tokens(terms, tokens, F.lower(body))), 1
+    )
 
 
 def dense_length(term: Column) -> Column:

@@ -37,15 +37,19 @@ def fuse_variants(ranked: DataFrame, windows: DataFrame, bound: int = WINDOW_BOU
     return top_per_group(fused.join(windows, KEY), KEY, order, F.col("window"), bound=bound).drop("window")
 
 
-def exact_phrase_boost(query: Column, names: list[Column], text: Column) -> Column:
+def dense_phrases(query) -> Column:
+    """Blank-free phrases of a question, long enough to be worth a boost."""
+    return F.filter(F.transform(L.phrase_terms(query), normalize_query), lambda p: F.length(p) >= 4)
+
+
+def exact_phrase_boost(phrases: Column, names: list[Column], text: Column) -> Column:
     """0.65 or 0.35 for the longest question phrase found in names or text, blanks ignored."""
     haystack = normalize_query(
         F.concat_ws("\n", *[F.coalesce(n, F.lit("")) for n in names], F.coalesce(text, F.lit("")))
     )
-    dense = F.transform(L.phrase_terms(query), normalize_query)
 
     def best(hay: Column) -> Column:
-        found = F.filter(dense, lambda p: (F.length(p) >= 4) & F.contains(hay, p))
+        found = F.filter(phrases, lambda p: F.contains(hay, p))
         return F.coalesce(
             F.array_max(F.transform(found, lambda p: F.when(F.length(p) >= 8, F.lit(0.65)).otherwise(F.lit(0.35)))),
             F.lit(0.0),
@@ -76,7 +80,9 @@ def merge_channels(
         )
 
     merged = normalised(vector, "vector").join(normalised(keyword, "keyword"), [*KEY, "chunk_id"], "full_outer")
-    rows = merged.join(queries.select(*KEY, "query", "mode", "top_k"), KEY).join(
+    # phrases are made once per query, not once per candidate
+    asked = queries.select(*KEY, "mode", "top_k", dense_phrases("query").alias("phrases"))
+    rows = merged.join(asked, KEY).join(
         chunks.select(
             "tenant_id", "kb_id", "chunk_id", "doc_id", "parent_id", "file_name", "page", "metadata", "text"
         ),
@@ -92,7 +98,7 @@ def merge_channels(
     boosts = channel_bonus(
         F.coalesce("vector_variants", "keyword_variants", F.lit(0)),
         F.col("vector_score").isNotNull() & F.col("keyword_score").isNotNull(),
-    ) + exact_phrase_boost(F.col("query"), names, F.col("text"))
+    ) + exact_phrase_boost(F.col("phrases"), names, F.col("text"))
     if settings.metadata_boost_enabled:
         boosts = boosts + metadata_boost([field[n] for n in BOOST_FIELDS], settings.metadata_boost_weight)
     combined = (
@@ -216,14 +222,17 @@ def expand_to_parents(
     """
     per_parent = settings.child_chunks_per_parent
     seeds = best_children(child_hits, queries, settings)
-    kids = children_of(seeds, chunks, per_parent * 4)
+    kids = children_of(seeds, chunks, per_parent * 4).select(
+        "tenant_id", "kb_id", "parent_id", "chunk_id", "chunk_index", "child_index",
+        F.lower("text").alias("lowered"), L.tokenize("text").alias("tokens"),
+    )
     terms = queries.select(*KEY, "top_k", L.tokenize("retrieval_query").alias("terms"))
     paired = (
         seeds.join(kids, ["tenant_id", "kb_id", "parent_id"])
         .join(terms, KEY)
-        .withColumn("kw", L.keyword_score(F.col("terms"), "text"))
+        .withColumn("kw", L.score_tokens(F.col("terms"), F.col("tokens"), F.col("lowered")))
         .withColumn("is_seed", F.col("chunk_id") == F.col("seed_id"))
-        .drop("text", "terms")
+        .drop("lowered", "tokens", "terms")
     )
     picked = top_per_group(
         paired,

@@ -235,22 +235,31 @@ def merge_candidates(*groups: DataFrame) -> DataFrame:
 
 
 def keyword_search(
-    queries: DataFrame, chunks: DataFrame, postings: DataFrame, settings: Settings = DEFAULTS, bound: int | None = None
+    queries: DataFrame, chunks: DataFrame, postings: DataFrame, settings: Settings = DEFAULTS,
+    bound: int | None = None, fulltext: DataFrame | None = None,
 ) -> DataFrame:
     """Full-text and substring candidates, rescored on the text, best ``top_k`` per query.
 
     ``queries``: query_id, scope, query, top_k and optionally metadata_filter. The text
-    joins in only for the bounded candidates.
+    joins in only for the bounded candidates. ``fulltext`` takes stored full-text
+    candidates; they are read twice.
     """
     bound = bound or MAX_TOP_K * 24
-    fulltext = fulltext_candidates(queries, postings, chunks, settings, bound)
+    if fulltext is None:
+        fulltext = fulltext_candidates(queries, postings, chunks, settings, bound)
     like = like_candidates(needs_like_search(queries, fulltext, settings), chunks, settings, bound * 5)
     merged = merge_candidates(fulltext, like).withColumnRenamed("score", "base_score")
     terms = queries.select("query_id", *SCOPE, "top_k", L.search_terms("query").alias("terms"))
+    # each candidate chunk is tokenised once, however many queries it meets
+    texts = (
+        chunks.select(*SCOPE, "chunk_id", "text")
+        .join(merged.select(*SCOPE, "chunk_id").distinct(), [*SCOPE, "chunk_id"], "left_semi")
+        .select(*SCOPE, "chunk_id", F.lower("text").alias("lowered"), L.tokenize("text").alias("tokens"))
+    )
     scored = (
         merged.join(terms, ["query_id", *SCOPE])
-        .join(chunks.select(*SCOPE, "chunk_id", "text"), [*SCOPE, "chunk_id"])
-        .withColumn("local_score", L.keyword_score(F.col("terms"), "text"))
+        .join(texts, [*SCOPE, "chunk_id"])
+        .withColumn("local_score", L.score_tokens(F.col("terms"), F.col("tokens"), F.col("lowered")))
         .withColumn("score", F.round(F.greatest("base_score", F.lit(0.0)) + F.col("local_score"), 9))
         .filter("score > 0")
         .select("query_id", *SCOPE, "chunk_id", "top_k", "score")

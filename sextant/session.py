@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", app: str = "sextant", shuffle_partitions: int = 8) -> SparkSession:
@@ -19,6 +19,7 @@ def local_session(cpus: str | int = "*", app: str = "sextant", shuffle_partition
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -37,3 +38,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = os.environ.get("SEXTANT_SCRATCH") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def store(rows: DataFrame, purpose: str) -> DataFrame:
+    """Write rows to a table in the shared folder and read them back.
+
+    Cuts the lineage of a result that several later steps read: it is computed once, its
+    plan stays small, and it outlives lost executors.
+    """
+    path = shared_dir(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
