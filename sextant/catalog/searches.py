@@ -10,6 +10,7 @@ from sextant.catalog.registry import query
 from sextant.functions import vectors as V
 from sextant.operators import keyword as K
 from sextant.operators import vector_search as N
+from sextant.session import store
 
 _CHILDREN = "kids AS (SELECT * FROM chunks WHERE chunk_type = 'child')"
 
@@ -61,7 +62,7 @@ def _short_questions(spark, sf_dir):
     ),
 )
 def fulltext_candidates(spark, sf_dir):
-    postings = K.build_postings(child_chunks(spark, sf_dir))
+    postings = store(K.build_postings(child_chunks(spark, sf_dir)), "postings")
     found = K.fulltext_candidates(_short_questions(spark, sf_dir), postings)
     return found.select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -89,7 +90,7 @@ like_top AS (
     ),
 )
 def like_candidates(spark, sf_dir):
-    return K.like_candidates(questions(spark, sf_dir), child_chunks(spark, sf_dir)).select(
+    return K.like_candidates(questions(spark, sf_dir), store(child_chunks(spark, sf_dir), "chunks")).select(
         "query_id", "kb_id", "chunk_id", "score"
     )
 
@@ -114,7 +115,7 @@ switched AS (
 )
 def like_fallback_switch(spark, sf_dir):
     asked = _short_questions(spark, sf_dir)
-    postings = K.build_postings(child_chunks(spark, sf_dir))
+    postings = store(K.build_postings(child_chunks(spark, sf_dir)), "postings")
     return K.needs_like_search(asked, K.fulltext_candidates(asked, postings)).select("query_id")
 
 
@@ -139,8 +140,10 @@ found AS (
 
 @query("keyword_search", "KW4 KW5 FLT1", _SEARCH)
 def keyword_search(spark, sf_dir):
-    chunks = child_chunks(spark, sf_dir)
-    found = K.keyword_search(_short_questions(spark, sf_dir), chunks, K.build_postings(chunks))
+    chunks, asked = store(child_chunks(spark, sf_dir), "chunks"), _short_questions(spark, sf_dir)
+    postings = store(K.build_postings(chunks), "postings")
+    fulltext = store(K.fulltext_candidates(asked, postings), "fulltext")
+    found = K.keyword_search(asked, chunks, postings, fulltext=fulltext)
     return found.select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
 
 

@@ -14,6 +14,7 @@ from sextant.functions import lexical as L
 from sextant.functions.metadata import matches_query_filter
 from sextant.functions.strings import SPACE
 from sextant.operators.ranking import top_per_group
+from sextant.session import store
 from sextant.settings import DEFAULTS, Settings
 
 SCOPE = ["tenant_id", "kb_id"]
@@ -71,7 +72,8 @@ def contains_matches(texts: DataFrame, id_cols: list[str], text: str, terms: Dat
         .filter(F.contains("word", "anchor"))
         .select("word", "term", (F.col("term") != F.col("anchor")).alias("check"))
     )
-    found = words.join(word_terms, "word").select(*id_cols, "term", "check").distinct()
+    # both halves below read the matches
+    found = store(words.join(word_terms, "word").select(*id_cols, "term", "check").distinct(), "term-matches")
     sure = found.filter(~F.col("check")).select(*id_cols, "term")
     checked = (
         found.filter("check")
@@ -135,7 +137,7 @@ def fulltext_candidates(
         "query_id", *SCOPE, "top_k",
         F.explode(L.required_prefixes("query", settings.fulltext_max_terms)).alias("prefix"),
     )
-    hits = prefix_postings(postings, terms)
+    hits = store(prefix_postings(postings, terms), "prefix-hits")  # read three times
     size = postings.agg(F.count_distinct(*SCOPE, "chunk_id").alias("n")).withColumn("one", F.lit(1))
     frequency = (
         hits.groupBy("prefix").agg(F.count("*").alias("df")).withColumn("one", F.lit(1)).join(size, "one").drop("one")
