@@ -54,24 +54,25 @@ def contains_matches(texts: DataFrame, id_cols: list[str], text: str, terms: Dat
         .withColumn("gram", F.substring("anchor", 1, 3))
     )
 
-    def grams(word: Column) -> Column:
-        spots = F.sequence(F.lit(1), F.length(word))
-        return F.array_distinct(
-            F.flatten(
-                F.transform(
-                    spots,
-                    lambda i: F.array(*[F.substring(word, i, F.lit(n)) for n in (1, 2, 3)]),
-                )
-            )
+    vocabulary = words.select("word").distinct()
+
+    def matched(keys: DataFrame, size: int) -> DataFrame:
+        """Words holding an anchor, met over the anchor's first ``size`` characters."""
+        spots = F.sequence(F.lit(1), F.length("word") - size + 1)
+        grams = F.array_distinct(F.transform(spots, lambda i: F.substring(F.col("word"), i, F.lit(size))))
+        return (
+            vocabulary.filter(F.length("word") >= size)
+            .select("word", F.explode(grams).alias("gram"))
+            .join(keys, "gram")
+            .filter(F.contains("word", "anchor"))
+            .select("word", "term", (F.col("term") != F.col("anchor")).alias("check"))
         )
 
-    vocabulary = words.select("word").distinct()
-    word_terms = (
-        vocabulary.select("word", F.explode(grams(F.col("word"))).alias("gram"))
-        .join(anchors, "gram")
-        .filter(F.contains("word", "anchor"))
-        .select("word", "term", (F.col("term") != F.col("anchor")).alias("check"))
-    )
+    word_terms = matched(anchors.filter(F.length("anchor") >= 3), 3)
+    for size in (1, 2):
+        short = anchors.filter(F.length("anchor") == size)
+        if not short.isEmpty():  # most searches have no term this short
+            word_terms = word_terms.unionByName(matched(short, size))
     # both halves below read the matches
     found = store(words.join(word_terms, "word").select(*id_cols, "term", "check").distinct(), "term-matches")
     sure = found.filter(~F.col("check")).select(*id_cols, "term")
