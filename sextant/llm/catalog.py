@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.catalog.base import table
-from sextant.llm import bpe, secrets, simhash
+from sextant.llm import bpe, secrets, simhash, suffix_buckets
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -31,6 +31,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_buckets.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
