@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.catalog.base import table
-from sextant.llm import bpe, secrets, simhash, suffix_buckets
+from sextant.llm import bpe, embedding_blocks, secrets, simhash, suffix_buckets
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,6 +21,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def oracle(sql: str):
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
 @query
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
@@ -39,3 +47,24 @@ def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+@oracle(
+    """WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding, x -> abs(x))) > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND array_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
+)
+def op10_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_blocks.near_duplicates(table(spark, sf_dir, "embeddings"))
