@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.catalog.base import table
-from sextant.llm import bpe, embedding_blocks, packing, secrets, simhash, suffix_buckets
+from sextant.llm import bpe, embedding_blocks, licenses, packing, secrets, simhash, suffix_buckets
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,6 +29,11 @@ def oracle(sql: str):
     return add
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
