@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.catalog.base import table
-from sextant.llm import bpe, embedding_blocks, licenses, packing, quality_rules, secrets, simhash, suffix_buckets
+from sextant.llm import bpe, embedding_blocks, html_tree, licenses, packing, quality_rules, secrets, simhash, suffix_buckets
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -34,6 +34,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
