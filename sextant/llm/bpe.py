@@ -274,9 +274,12 @@ class Vocabulary:
                 setattr(self, name, [np.concatenate(getattr(self, name))])
         return self.known_ids[0], self.known_heads[0][which], self.known_sizes[0][which]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts laid end to end, and each text's number of ids."""
-        if not any(name in t for name in self.special for t in texts):
+    def encode(self, texts: list[str], special: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts laid end to end, and each text's number of ids.
+
+        Unless ``special``, the names of special tokens are ordinary text.
+        """
+        if not special or not any(name in t for name in self.special for t in texts):
             return self._encode_ordinary(texts)
         # the special tokens stand between ordinary stretches
         stretches, whose, fixed = [], [], []
@@ -364,10 +367,10 @@ def text_groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield first, group
 
 
-def encoded(batch: pa.RecordBatch, vocab: Vocabulary) -> Iterator[tuple[int, np.ndarray]]:
+def encoded(batch: pa.RecordBatch, vocab: Vocabulary, special: bool = True) -> Iterator[tuple[int, np.ndarray]]:
     """``(row, ids)`` of every text of a batch."""
     for first, texts in text_groups(batch.column("text").to_pylist()):
-        ids, counts = vocab.encode(texts)
+        ids, counts = vocab.encode(texts, special)
         ends = np.cumsum(counts)
         for k, end in enumerate(ends):
             yield first + k, ids[end - counts[k] : end]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.catalog.base import table
-from sextant.llm import bpe, embedding_blocks, html_tree, licenses, packing, quality_rules, secrets, simhash, suffix_buckets
+from sextant.llm import bpe, embedding_blocks, html_tree, licenses, packing, quality_rules, secrets, simhash, suffix_buckets, token_files
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -54,6 +54,13 @@ def op5_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents are written as flat token files first, which are then scanned."""
+    path = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return token_files.scan(spark, path)
+
+
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
