@@ -109,14 +109,15 @@ def scan(spark: SparkSession, path: str, has_header: bool = True, block: int = B
                     numbers, counts, around = scan_block(ids[k * block : (k + 1) * block], k * block, has_header)
                     n = len(numbers)
                     columns = [[name] * (n + 1), [k] * (n + 1), [*numbers, None], [*counts, None]]
-                    columns += [[None] * n + [x] for x in around]
+                    columns += [[None] * n + [x] for x in (*around, min(len(ids), (k + 1) * block) - around[3])]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    names = ["file", "block", "doc_id", "n_tokens", "ends", "head", "head_ids", "tail", "tail_ids"]
+    names = ["file", "block", "doc_id", "n_tokens", "ends", "head", "head_ids", "tail", "tail_ids", "tail_at"]
     few = pa.list_(pa.int32())
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), few, pa.int64(), few]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), few, pa.int64(), few, pa.int64()]
     schema = (
-        "file string, block long, doc_id long, n_tokens long, ends int, head long, head_ids array<int>, tail long, tail_ids array<int>"
+        "file string, block long, doc_id long, n_tokens long, ends int, head long, head_ids array<int>, "
+        "tail long, tail_ids array<int>, tail_at long"
     )
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = store(files.mapInArrow(run, schema), "token-blocks")
@@ -134,7 +135,7 @@ def _stitched(blocks: DataFrame, has_header: bool, block: int) -> DataFrame:
     )
     tail = F.struct(
         (F.col("document") + 1).alias("document"), (2 * F.col("block") + 1).alias("at"), F.col("tail").alias("n"),
-        F.col("tail_ids").alias("ids"), F.lit(False).alias("closed"), ((F.col("block") + 1) * block - F.col("tail")).alias("place"),
+        F.col("tail_ids").alias("ids"), F.lit(False).alias("closed"), F.col("tail_at").alias("place"),
     )
     pieces = numbered.select("file", F.explode(F.when(F.col("ends") > 0, F.array(head, tail)).otherwise(F.array(head))).alias("p"))
     whole = pieces.groupBy("file", "p.document").agg(
