@@ -192,9 +192,9 @@ def passage_matches(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(item_id, doc_id) where the document text contains the passage.
 
     Words strictly inside a passage are whole words of any text that contains it, in the
-    same order. Five of them form a key; equal keys meet and the containment is then
-    checked. Passages too short for a five-word key use what words they have inside,
-    and those without any use the first word that ends in a text's word.
+    same order. Five of them form a key, fewer for passages with fewer; equal keys meet and
+    the containment is then checked. A passage of one or two words has no word inside: it is
+    met by the three-character keys of the texts' words, or character by character.
     """
     words = F.split("text", r"[ \n]+")
 
@@ -205,13 +205,24 @@ def passage_matches(docs: DataFrame, passages: DataFrame) -> DataFrame:
         )
 
     # inner words: the first and last may be cut
-    keyed = passages.withColumn("w", words).withColumn(
-        "inner_n", F.least(F.size("w") - 2, F.lit(5))
+    inner = F.least(F.size("w") - 2, F.lit(5))
+    keyed = passages.filter("text <> ''").withColumn("w", words).withColumn("by_words", inner > 0)
+    keyed = keyed.withColumn("n", F.when(F.col("by_words"), inner).otherwise(F.least(F.length("text"), F.lit(3))))
+    own = F.when(F.col("by_words"), F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).otherwise(
+        F.substring(F.col("text"), F.lit(1), F.col("n"))
     )
-    keys = keyed.filter("inner_n >= 5").select(
-        "item_id", F.col("text").alias("passage"), F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("key")
-    )
-    doc_keys = docs.select("doc_id", F.explode(F.array_distinct(grams(words, 5))).alias("key"))
+    keys = keyed.select("item_id", F.col("text").alias("passage"), F.xxhash64(own).alias("key"))
+    # at most eight kinds of keys: one to five words, one to three characters
+    kinds = [tuple(r) for r in keyed.select("by_words", "n").distinct().collect()]
+
+    def of_text(by_words, n):
+        if by_words:
+            return grams(words, n)
+        places = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(n))))
+
+    made = F.concat(*[of_text(*k) for k in sorted(kinds)]) if kinds else F.array().cast("array<bigint>")
+    doc_keys = docs.select("doc_id", F.explode(F.array_distinct(made)).alias("key"))
     pairs = doc_keys.join(keys, "key").select("item_id", "passage", "doc_id")
     return (
         pairs.join(docs.select("doc_id", "text"), "doc_id")

@@ -247,7 +247,7 @@ _UUID5 = (
       {_UUID5.format("'main:' || kb_id || ':' || doc_id || ':parent:0:' || left(text, 80)")} AS parent_id,
       {_UUID5.format("'main:' || kb_id || ':' || doc_id || ':child:0:3:' || left(text, 80)")} AS child_id,
       'kb_' || substr(sha1('main:' || kb_id), 1, 24) AS collection,
-      CASE WHEN length(left(text, 200)) <= 128 THEN left(text, 200) ELSE sha256(left(text, 200)) END AS fitted FROM docs""",
+      CASE WHEN length(text) <= 128 THEN text ELSE sha256(text) END AS fitted FROM docs""",
     ),
 )
 def document_identifiers(spark, sf_dir):
@@ -257,5 +257,5 @@ def document_identifiers(spark, sf_dir):
         ids.parent_chunk_id("tenant_id", "kb_id", "doc_id", F.lit(0), "text").alias("parent_id"),
         ids.child_chunk_id("tenant_id", "kb_id", "doc_id", F.lit(0), F.lit(3), "text").alias("child_id"),
         ids.collection_key("tenant_id", "kb_id").alias("collection"),
-        ids.fit_identifier(F.substring("text", 1, 200)).alias("fitted"),
+        ids.fit_identifier(F.col("text")).alias("fitted"),
     )

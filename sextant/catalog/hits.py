@@ -22,8 +22,10 @@ from sextant.operators import fusion as M
 from sextant.operators import rerank as R
 from sextant.operators.ranking import min_max_normalize, top_per_group
 from sextant.plans import retrieval as P
+from sextant.settings import DEFAULTS
 
-KEEP = 20
+# the candidate window of a request for five hits
+KEEP = DEFAULTS.candidate_multiplier * 2 * DEFAULTS.child_chunks_per_parent * DEFAULTS.default_top_k
 
 
 def asked(spark, sf_dir):
@@ -623,7 +625,7 @@ def gold(spark, sf_dir):
 def result_hits(hits):
     """Hits of a retrieval plan as evaluation hits with their rank."""
     order = [F.col("score").desc(), F.col("chunk_id")]
-    ranked = top_per_group(hits, ["query_id"], order, 1_000_000, rank="rank")
+    ranked = top_per_group(hits, ["query_id"], order, None, rank="rank")
     return ranked.select("query_id", "rank", "doc_id", "chunk_id", "parent_id", "score", F.col("file_name").alias("title"), "text")
 
 

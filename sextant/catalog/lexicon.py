@@ -74,7 +74,7 @@ def tokenize_cjk_texts(spark, sf_dir):
 # questions in CJK with openings and closings, one per message
 _ASK = (
     "CASE turn % 4 WHEN 0 THEN '请帮我查一下 ' WHEN 1 THEN '请问，第三章' WHEN 2 THEN '关于' ELSE '' END || "
-    f"left({CJK_SQL}, 60) || CASE turn % 3 WHEN 0 THEN '主要包括哪些内容呢？' WHEN 1 THEN '是什么' ELSE ' ?' END"
+    f"{CJK_SQL} || CASE turn % 3 WHEN 0 THEN '主要包括哪些内容呢？' WHEN 1 THEN '是什么' ELSE ' ?' END"
 )
 
 
@@ -89,7 +89,7 @@ def _asked(spark, sf_dir):
     closing = (
         F.when(turn % 3 == 0, F.lit("主要包括哪些内容呢？")).when(turn % 3 == 1, F.lit("是什么")).otherwise(F.lit(" ?"))
     )
-    text = F.concat(opening, F.substring(cjk(F.col("text")), 1, 60), closing)
+    text = F.concat(opening, cjk(F.col("text")), closing)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("query"))
 
 
@@ -149,7 +149,7 @@ listed AS (
            THEN [regexp_extract(d, '^第[一二三四五六七八九十百千万0-9]+[章节篇部分条款](.{4,})$', 1)] ELSE [] END)) AS cs
   FROM dense WHERE length(d) >= 4),
 flat AS (SELECT conv_id, turn, n, unnest(cs) AS phrase, generate_subscripts(cs, 1) AS i FROM listed),
-firsts AS (SELECT conv_id, turn, phrase, min(n * 1000 + i) AS spot FROM flat GROUP BY ALL)"""
+firsts AS (SELECT conv_id, turn, phrase, min(n * 1000000 + i) AS spot FROM flat GROUP BY ALL)"""
 
 
 @query(
@@ -253,9 +253,13 @@ def required_prefixes(spark, sf_dir):
 @query(
     "query_keywords",
     "LEX12",
-    f"""WITH src AS (SELECT conv_id, turn, {tokens_sql(_ASK)} AS ts FROM conversations)
-    SELECT conv_id, turn, array_to_string(list_slice(list_filter(ts, lambda t: length(t) >= 4 OR
-      regexp_full_match(t, '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}')), 1, 4), '|') AS keywords FROM src""",
+    f"""WITH src AS (SELECT conv_id, turn, {index_sql(_ASK)} AS ts FROM conversations),
+    flat AS (SELECT conv_id, turn, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM src),
+    firsts AS (SELECT conv_id, turn, t, min(i) AS i FROM flat WHERE length(t) >= 4 OR
+      regexp_full_match(t, '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}') GROUP BY ALL),
+    best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS n FROM firsts),
+    listed AS (SELECT conv_id, turn, string_agg(t, '|' ORDER BY i) AS k FROM best WHERE n <= 4 GROUP BY ALL)
+    SELECT conv_id, turn, coalesce(k, '') AS keywords FROM conversations LEFT JOIN listed USING (conv_id, turn)""",
 )
 def query_keywords(spark, sf_dir):
     return _asked(spark, sf_dir).select(
@@ -306,8 +310,8 @@ def lexical_scores(spark, sf_dir):
 # --- question rules ---
 
 _FOLLOW = (
-    "CASE turn % 6 WHEN 0 THEN 'Hello' WHEN 1 THEN '这个' || left(text, 20) WHEN 2 THEN left(text, 15) || '?' "
-    "WHEN 3 THEN left(text, 60) || '吗' WHEN 4 THEN '它？' ELSE text END"
+    "CASE turn % 6 WHEN 0 THEN 'Hello' WHEN 1 THEN '这个' || text WHEN 2 THEN role || ' asks this?' "
+    "WHEN 3 THEN text || '吗' WHEN 4 THEN '它？' ELSE text END"
 )
 
 
@@ -315,22 +319,20 @@ def _follow_ups(spark, sf_dir):
     turn = F.col("turn")
     text = (
         F.when(turn % 6 == 0, F.lit("Hello"))
-        .when(turn % 6 == 1, F.concat(F.lit("这个"), F.substring("text", 1, 20)))
-        .when(turn % 6 == 2, F.concat(F.substring("text", 1, 15), F.lit("?")))
-        .when(turn % 6 == 3, F.concat(F.substring("text", 1, 60), F.lit("吗")))
+        .when(turn % 6 == 1, F.concat(F.lit("这个"), F.col("text")))
+        .when(turn % 6 == 2, F.concat("role", F.lit(" asks this?")))
+        .when(turn % 6 == 3, F.concat("text", F.lit("吗")))
         .when(turn % 6 == 4, F.lit("它？"))
         .otherwise(F.col("text"))
     )
-    reply = F.when(turn % 2 == 0, F.concat(F.lit(' "'), F.substring("text", 1, 700), F.lit('" '))).otherwise(
-        F.substring("text", 1, 3)
-    )
+    reply = F.when(turn % 2 == 0, F.concat(F.lit(' "'), F.col("text"), F.lit('" '))).otherwise(F.lit("no"))
     return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", text.alias("query"), (turn > 0).alias("has_history"), Q.clean_rewrite(reply).alias("rewritten")
     )
 
 
 _REPLY = (
-    f"left({collapse_sql(_trim("trim(trim(" + _trim("CASE WHEN turn % 2 = 0 THEN ' \"' || left(text, 700) || '\" ' ELSE left(text, 3) END") + ", '\"'), '''')"))}, 500)"
+    f"left({collapse_sql(_trim("trim(trim(" + _trim("CASE WHEN turn % 2 = 0 THEN ' \"' || text || '\" ' ELSE 'no' END") + ", '\"'), '''')"))}, 500)"
 )
 _GREET = "('hi','hello','hey','你好','您好','在吗','谢谢','感谢','ok','好的','嗯')"
 _GATE = f"""asked AS (
@@ -366,7 +368,7 @@ def rewrite_gate(spark, sf_dir):
     "QRY1",
     f"""WITH {BENCH_TERMS},
     pool AS (
-      SELECT item_id, left(text, 80) || ' more' AS v, -2 AS spot FROM benchmark UNION ALL SELECT item_id, text, -1 FROM benchmark
+      SELECT item_id, text || ' more' AS v, -2 AS spot FROM benchmark UNION ALL SELECT item_id, text, -1 FROM benchmark
       UNION ALL SELECT item_id, term, spot FROM phrase_list),
     firsts AS (SELECT item_id, v, min(spot) AS spot FROM pool GROUP BY item_id, v)
     SELECT item_id, n, v AS variant FROM (
@@ -374,7 +376,7 @@ def rewrite_gate(spark, sf_dir):
 )
 def expand_queries(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").select(
-        "item_id", "text", F.concat(F.substring("text", 1, 80), F.lit(" more")).alias("rewritten")
+        "item_id", "text", F.concat("text", F.lit(" more")).alias("rewritten")
     )
     return rows.select(
         "item_id", F.posexplode(L.expanded_queries("text", "rewritten", 3)).alias("pos", "variant")
@@ -404,7 +406,7 @@ def candidate_windows(spark, sf_dir):
 
 _DRAFT = (
     "CASE turn % 6 WHEN 0 THEN 'Find the contract: ' WHEN 1 THEN '起草 一份 合 同' WHEN 2 THEN 'A tem plate of ' "
-    "WHEN 3 THEN 'tender ' WHEN 4 THEN '给我一份章程' ELSE '' END || left(text, 40)"
+    "WHEN 3 THEN 'tender ' WHEN 4 THEN '给我一份章程' ELSE '' END || text"
 )
 
 
@@ -426,6 +428,6 @@ def full_document_trigger(spark, sf_dir):
         .otherwise(F.lit(""))
     )
     rows = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.concat(opening, F.substring("text", 1, 40)).alias("query")
+        "conv_id", "turn", F.concat(opening, F.col("text")).alias("query")
     )
     return rows.select("conv_id", "turn", Q.wants_full_document("query").alias("whole"))

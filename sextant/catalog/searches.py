@@ -27,9 +27,8 @@ def build_postings(spark, sf_dir):
     return K.build_postings(child_chunks(spark, sf_dir))
 
 
-# full-text: the first 12 words of each passage are asked, so lines can hold all of them
-_SHORT = "regexp_extract(text, '^(?:[^ .\\n]+[ .\\n]+){1,4}', 0)"
-_FULLTEXT = f"""asks AS (SELECT item_id, {_SHORT} AS q FROM benchmark),
+# full-text: the whole passages are asked
+_FULLTEXT = f"""asks AS (SELECT item_id, text AS q FROM benchmark),
 pref_flat AS (SELECT item_id, unnest({raw_sql('q')}) AS prefix, generate_subscripts({raw_sql('q')}, 1) AS i FROM asks),
 pref AS (
   SELECT item_id, prefix FROM (
@@ -48,11 +47,6 @@ fulltext_top AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM fulltext) WHERE rn <= 5)"""
 
 
-def _short_questions(spark, sf_dir):
-    opening = F.regexp_extract("query", r"^(?:[^ .\n]+[ .\n]+){1,4}", 0)
-    return questions(spark, sf_dir).withColumn("query", opening)
-
-
 @query(
     "fulltext_candidates",
     "KW1",
@@ -63,7 +57,7 @@ def _short_questions(spark, sf_dir):
 )
 def fulltext_candidates(spark, sf_dir):
     postings = store(K.build_postings(child_chunks(spark, sf_dir)), "postings")
-    found = K.fulltext_candidates(_short_questions(spark, sf_dir), postings)
+    found = K.fulltext_candidates(questions(spark, sf_dir), postings)
     return found.select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -95,9 +89,8 @@ def like_candidates(spark, sf_dir):
     )
 
 
-# for the combined search the same four opening words are asked everywhere
 _SHORT_TERMS = LIKE_TERMS.replace("FROM benchmark", "FROM asked_items")
-_ASKED = f"asked_items AS (SELECT item_id, {_SHORT} AS text FROM benchmark)"
+_ASKED = "asked_items AS (SELECT item_id, text FROM benchmark)"
 _SWITCH = """asked AS (SELECT CAST(item_id AS VARCHAR) || '@' || k.kb_id AS query_id, item_id, k.kb_id
   FROM asked_items CROSS JOIN (SELECT DISTINCT kb_id FROM docs) k),
 switched AS (
@@ -114,7 +107,7 @@ switched AS (
     ),
 )
 def like_fallback_switch(spark, sf_dir):
-    asked = _short_questions(spark, sf_dir)
+    asked = questions(spark, sf_dir)
     postings = store(K.build_postings(child_chunks(spark, sf_dir)), "postings")
     return K.needs_like_search(asked, K.fulltext_candidates(asked, postings)).select("query_id")
 
@@ -140,7 +133,7 @@ found AS (
 
 @query("keyword_search", "KW4 KW5 FLT1", _SEARCH)
 def keyword_search(spark, sf_dir):
-    chunks, asked = store(child_chunks(spark, sf_dir), "chunks"), _short_questions(spark, sf_dir)
+    chunks, asked = store(child_chunks(spark, sf_dir), "chunks"), questions(spark, sf_dir)
     postings = store(K.build_postings(chunks), "postings")
     fulltext = store(K.fulltext_candidates(asked, postings), "fulltext")
     found = K.keyword_search(asked, chunks, postings, fulltext=fulltext)

@@ -14,7 +14,6 @@ from sextant.operators.ranking import best_per_key, min_max_over, top_per_group
 from sextant.settings import DEFAULTS, Settings
 
 KEY = ["query_id", "tenant_id", "kb_id"]
-WINDOW_BOUND = 1200  # largest candidate window: top_k 50
 
 
 def rank_variants(hits: DataFrame) -> DataFrame:
@@ -23,7 +22,7 @@ def rank_variants(hits: DataFrame) -> DataFrame:
     return hits.withColumn("variant_rank", F.row_number().over(order))
 
 
-def fuse_variants(ranked: DataFrame, windows: DataFrame, bound: int = WINDOW_BOUND) -> DataFrame:
+def fuse_variants(ranked: DataFrame, windows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Sum of score and reciprocal rank over the variants that found a chunk.
 
     ``windows`` (query scope, window) says how many fused chunks a query keeps.
@@ -34,7 +33,7 @@ def fuse_variants(ranked: DataFrame, windows: DataFrame, bound: int = WINDOW_BOU
         F.min_by("variant_index", F.struct(-F.col("score"), F.col("variant_index"))).alias("best_variant"),
     )
     order = [F.col("score").desc(), F.col("chunk_id")]
-    return top_per_group(fused.join(windows, KEY), KEY, order, F.col("window"), bound=bound).drop("window")
+    return top_per_group(fused.join(windows, KEY), KEY, order, F.col("window"), bound=settings.candidate_bound).drop("window")
 
 
 def dense_phrases(query) -> Column:
@@ -64,7 +63,6 @@ def channel_bonus(variant_count: Column, in_both: Column) -> Column:
 
 def merge_channels(
     vector: DataFrame, keyword: DataFrame, queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS,
-    bound: int = WINDOW_BOUND,
 ) -> DataFrame:
     """Outer-join the two channels and score each chunk by the query's mode.
 
@@ -111,7 +109,8 @@ def merge_channels(
         F.round(combined, 9).alias("score"),
     )
     kept = top_per_group(
-        scored, KEY, [F.col("score").desc(), F.col("chunk_id")], Q.candidate_window("top_k", settings), bound=bound
+        scored, KEY, [F.col("score").desc(), F.col("chunk_id")], Q.candidate_window("top_k", settings),
+        bound=settings.candidate_bound,
     )
     return kept.drop("top_k")
 
@@ -172,7 +171,8 @@ def best_children(child_hits: DataFrame, queries: DataFrame, settings: Settings
         F.col("s.keyword_score").alias("seed_keyword_score"),
     ).join(queries.select(*KEY, "top_k"), KEY)
     return top_per_group(
-        flat, KEY, [F.col("seed_score").desc(), F.col("parent_id")], Q.parent_window("top_k", settings), bound=50
+        flat, KEY, [F.col("seed_score").desc(), F.col("parent_id")], Q.parent_window("top_k", settings),
+        bound=settings.parent_bound,
     ).drop("top_k")
 
 
@@ -249,7 +249,7 @@ def expand_to_parents(
         F.col("seed_score").alias("parent_score"),
     )
     limit = Q.parent_window("top_k", settings) * max(per_parent, 1)
-    return dedupe_hits(scored, limit, KEY, bound=50 * max(per_parent, 1)).drop("top_k")
+    return dedupe_hits(scored, limit, KEY, bound=settings.parent_bound * max(per_parent, 1)).drop("top_k")
 
 
 def attach_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -18,7 +18,6 @@ from sextant.session import store
 from sextant.settings import DEFAULTS, Settings
 
 SCOPE = ["tenant_id", "kb_id"]
-MAX_TOP_K = 50  # largest request the query schema admits
 _KEY_CHARS = 8
 
 
@@ -133,7 +132,7 @@ def fulltext_candidates(
     table. Candidates come from the rarest prefix only and are confirmed against the
     other prefixes, so common words cost nothing.
     """
-    bound = bound or MAX_TOP_K * 24
+    bound = bound or settings.candidate_bound
     terms = queries.select(
         "query_id", *SCOPE, "top_k",
         F.explode(L.required_prefixes("query", settings.fulltext_max_terms)).alias("prefix"),
@@ -175,7 +174,7 @@ def like_candidates(
     The score sums term weights over the text and raised weights over the names; the
     best five times top_k chunks of a query are returned.
     """
-    bound = bound or MAX_TOP_K * 24 * 5
+    bound = bound or settings.candidate_bound * 5
     ranked = queries.select(
         "query_id", *SCOPE, "top_k",
         F.posexplode(L.like_terms(L.search_terms("query"), settings.like_max_terms)).alias("pos", "term"),
@@ -247,7 +246,7 @@ def keyword_search(
     joins in only for the bounded candidates. ``fulltext`` takes stored full-text
     candidates; they are read twice.
     """
-    bound = bound or MAX_TOP_K * 24
+    bound = bound or settings.candidate_bound
     if fulltext is None:
         fulltext = fulltext_candidates(queries, postings, chunks, settings, bound)
     like = like_candidates(needs_like_search(queries, fulltext, settings), chunks, settings, bound * 5)

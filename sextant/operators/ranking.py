@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit, rank: str | None = None, bound: int | None = None
 ) -> DataFrame:
-    """First ``limit`` rows of each group (a number or a column).
+    """First ``limit`` rows of each group (a number or a column; all rows if none).
 
     A constant becomes a pre-shuffle group limit in the plan, so each task sends at most
     that many rows of a group to the ranking task. With a limit column, ``bound`` is the
@@ -21,6 +21,8 @@ def top_per_group(
     """
     name = rank or "__rank"
     ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    if limit is None:
+        return ranked if rank else df
     kept = ranked.filter(F.col(name) <= limit)
     if bound is not None:
         kept = ranked.filter((F.col(name) <= F.lit(bound)) & (F.col(name) <= limit))

@@ -69,7 +69,7 @@ def list_chunks_per_scope(chunks: DataFrame, limit: int, condition=None) -> Data
 
 _VERSIONS = T.StructType(
     [T.StructField(c, T.StringType()) for c in DOC]
-    + [T.StructField("deleted", T.BooleanType()), T.StructField("batch_id", T.LongType())]
+    + [T.StructField("batch_id", T.LongType())]
 )
 
 
@@ -83,13 +83,18 @@ class DocumentLog:
     def _part(self, kind: str, batch_id: int) -> str:
         return f"{self.path}/{kind}/batch_id={batch_id}"
 
-    def write_batch(self, batch_id: int, rows: DataFrame, documents: DataFrame, deleted: bool = False) -> None:
+    def write_batch(self, batch_id: int, rows: DataFrame, documents: DataFrame) -> None:
         """Write a batch: its rows, then (as the commit) the documents it stands for."""
-        if not deleted:
-            rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._part("rows", batch_id))
-        documents.select(*DOC).distinct().withColumn("deleted", F.lit(deleted)).write.mode("overwrite").parquet(
-            self._part("versions", batch_id)
-        )
+        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._part("rows", batch_id))
+        documents.select(*DOC).distinct().write.mode("overwrite").parquet(self._part("versions", batch_id))
+
+    def delete(self, documents: DataFrame) -> None:
+        """Drop documents for good. Deletions are appended apart from the batches and share no numbers with them."""
+        documents.select(*DOC).distinct().write.mode("append").parquet(f"{self.path}/deletions")
+
+    def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The rows that one batch wrote; no other folder is read."""
+        return _read(spark, self._part("rows", batch_id), self.schema)
 
     def versions(self, spark: SparkSession) -> DataFrame:
         """Newest batch of each document."""
@@ -97,10 +102,11 @@ class DocumentLog:
         return best_per_key(log, DOC, [-F.col("batch_id")])
 
     def read(self, spark: SparkSession) -> DataFrame:
-        """Current rows: those of each document's newest batch, unless it deleted it."""
+        """Current rows: those of each document's newest batch, without deleted documents."""
         fields = [*self.schema.fields, T.StructField("batch_id", T.LongType())]
         rows = _read(spark, f"{self.path}/rows", T.StructType(fields))
-        current = self.versions(spark).filter(~F.col("deleted")).select(*DOC, "batch_id")
+        gone = _read(spark, f"{self.path}/deletions", T.StructType(_VERSIONS.fields[: len(DOC)]))
+        current = self.versions(spark).join(gone, DOC, "left_anti")
         return rows.join(current, [*DOC, "batch_id"]).select(*self.schema.fieldNames())
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+MAX_TOP_K = 50  # largest request the query schema admits
+
+
 @dataclass(frozen=True)
 class Settings:
     # chunk sizes, in characters
@@ -65,5 +68,26 @@ class Settings:
     vector_block_rows: int = 20000
     query_block_rows: int = 1024
 
+    # the largest windows that a request of the largest top_k can ask for
+
+    @property
+    def candidate_bound(self) -> int:
+        floor = self.rerank_top_n if self.rerank_enabled else 0
+        return max(MAX_TOP_K * 2 * max(self.child_chunks_per_parent, 1) * max(self.candidate_multiplier, 1), floor)
+
+    @property
+    def cross_kb_bound(self) -> int:
+        return max(self.hit_bound, self.rerank_top_n if self.rerank_enabled else 0)
+
+    @property
+    def parent_bound(self) -> int:
+        floor = -(-max(self.rerank_top_n, 0) // max(self.child_chunks_per_parent, 1))
+        widened = min(max(self.rerank_top_n, 0), MAX_TOP_K * max(self.candidate_multiplier, 1))
+        return max(MAX_TOP_K, floor, widened) if self.rerank_enabled else MAX_TOP_K
+
+    @property
+    def hit_bound(self) -> int:
+        return MAX_TOP_K * max(self.child_chunks_per_parent, 1)
+
 
 DEFAULTS = Settings()

@@ -33,22 +33,23 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV files as text columns with a ``source`` column.
 
     Files that are valid UTF-8 (a byte-order mark is dropped) are read as such, the
-    others as GB18030. Validity is decided on the executors; only the file names of the
-    second kind come back. Reading GB18030 needs ``spark.sql.legacy.javaCharsets``.
+    others as GB18030. Files are read together where their header lines are equal, so that
+    each keeps its own columns; a column that a file lacks is null. Encoding and header are
+    found on the executors; a row per file comes back. Reading GB18030 needs
+    ``spark.sql.legacy.javaCharsets``.
     """
     files = spark.read.format("binaryFile").load(path)
     named = files.select(
-        "path", F.expr("is_valid_utf8(cast(content as string))").alias("utf8")
+        "path",
+        F.expr("is_valid_utf8(cast(content as string))").alias("utf8"),
+        F.expr("hex(cast(split_part(cast(content as string), '\\n', 1) as binary))").alias("header"),
     )
-    kinds = {True: [], False: []}
+    kinds: dict[tuple[bool, str], list[str]] = {}
     for row in named.toLocalIterator():
-        kinds[bool(row["utf8"])].append(row["path"])
-    frames = []
-    if kinds[True]:
-        frames.append(_csv(spark, kinds[True], "UTF-8"))
-    if kinds[False]:
+        kinds.setdefault((bool(row["utf8"]), row["header"]), []).append(row["path"])
+    if any(not utf8 for utf8, _ in kinds):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        frames.append(_csv(spark, kinds[False], "GB18030"))
+    frames = [_csv(spark, paths, "UTF-8" if utf8 else "GB18030") for (utf8, _), paths in sorted(kinds.items())]
     if not frames:
         raise ValueError(f"no CSV file at {path}")
     table = frames[0]

@@ -16,6 +16,7 @@ from sextant.operators.chunking import chunk_rows, index_rows
 from sextant.operators.ranking import best_per_key
 from sextant.operators.storage import DOC, DocumentLog, _read, without_deleted
 from sextant.schemas import CHUNK, INGEST_MESSAGE
+from sextant.session import store
 from sextant.settings import DEFAULTS, Settings
 
 VECTOR = T.StructType(
@@ -103,11 +104,11 @@ class IngestTables:
     def dead_letters(self, spark: SparkSession) -> DataFrame:
         return _read(spark, f"{self.root}/dead_letters", T.StructType.fromDDL("value string, reason string"))
 
-    def delete(self, documents: DataFrame, batch_id: int) -> None:
-        """Tombstone documents and drop their rows from both tables."""
+    def delete(self, documents: DataFrame) -> None:
+        """Tombstone documents and drop their rows from both tables, batches of any number alike."""
         documents.select(*DOC).distinct().write.mode("append").parquet(f"{self.root}/tombstones")
-        self.chunks.write_batch(batch_id, documents, documents, deleted=True)
-        self.vectors.write_batch(batch_id, documents, documents, deleted=True)
+        self.chunks.delete(documents)
+        self.vectors.delete(documents)
 
     def ingest(self, raw: DataFrame, batch_id: int, embedder=None) -> None:
         """One micro-batch of messages; running it again gives the same tables.
@@ -117,18 +118,20 @@ class IngestTables:
         which mark a job finished, come last.
         """
         spark = raw.sparkSession
-        jobs, rejected = parse_messages(raw)
-        order = [F.col("seq")] if "seq" in jobs.columns else [F.col("payload")]
-        first = best_per_key(jobs, ["job_key"], order)
+        # the messages' order: theirs if they bring it, else their place in the source
+        numbered = raw if "seq" in raw.columns else raw.withColumn("seq", F.monotonically_increasing_id())
+        jobs, rejected = parse_messages(store(numbered, "ingest-batch"))
+        first = best_per_key(jobs, ["job_key"], [F.col("seq")])
         done = self.jobs(spark).filter(F.col("batch_id") != batch_id).select("job_key")
         open_jobs = without_deleted(first.join(done, "job_key", "left_anti"), self.tombstones(spark))
         # one document per batch: its last job wins
-        latest = best_per_key(open_jobs, DOC, [F.col("job_key")])
-        rows = chunk_rows(latest, self.settings)
+        latest = store(best_per_key(open_jobs, DOC, [-F.col("seq")]), "ingest-jobs")
+        rows = store(chunk_rows(latest, self.settings), "ingest-chunks")
+        # the second look at the tombstones comes after the work
         live = without_deleted(rows, self.tombstones(spark))
         self.chunks.write_batch(batch_id, live, latest)
-        stored = self.chunks.read(spark).join(latest.select(*DOC), DOC, "left_semi")
-        vectors = N.vector_rows(index_rows(stored), embedder, self.settings.vector_dim)
+        stored = self.chunks.read_batch(spark, batch_id)
+        vectors = N.vector_rows(index_rows(stored), embedder, self.settings.vector_dim).drop("metadata")
         self.vectors.write_batch(batch_id, vectors, latest)
         rejected.write.mode("overwrite").parquet(f"{self.root}/dead_letters/batch_id={batch_id}")
         counts = stored.groupBy(*DOC).agg(F.count("*").alias("chunk_count"))

@@ -75,3 +75,10 @@ def test_score_replies(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r["s"] for r in df.orderBy("i").select(parse_score_array("t").alias("s")).collect()]
     assert got[:5] == [[0.1, 1.0], [0.5], [0.2, 0.3], None, None]
+
+
+def test_each_csv_file_keeps_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,z\n3,4\n")
+    rows = files.read_csv(spark, str(tmp_path)).select("x", "y", "z").collect()
+    assert sorted(map(tuple, rows), key=str) == [("1", "2", None), (None, "3", "4")]

@@ -81,7 +81,7 @@ def test_ingest_stream_is_idempotent_and_keeps_deletions(spark, tmp_path):
     tables.ingest(spark.read.text(str(queue / "2.txt")), 1)
     assert sorted(map(str, tables.chunks.read(spark).collect())) == before
     # deleted documents stay away
-    tables.delete(spark.createDataFrame([("t", "k", "a")], "tenant_id string, kb_id string, doc_id string"), 7)
+    tables.delete(spark.createDataFrame([("t", "k", "a")], "tenant_id string, kb_id string, doc_id string"))
     (queue / "3.txt").write_text(_message(docId="a", jobId="j3", content="back again"))
     run()
     assert {r["doc_id"] for r in tables.chunks.read(spark).collect()} == {"b"}
@@ -100,3 +100,17 @@ def test_blocked_search_equals_one_block(spark):
     assert sorted(map(str, small.collect())) == sorted(map(str, one.collect()))
     best = {r["query_id"]: r["chunk_id"] for r in one.filter("rank = 1").collect()}
     assert all(k == v for k, v in best.items()) and one.count() == 84
+
+
+def test_a_deletion_takes_no_other_document_and_the_later_message_wins(spark, tmp_path):
+    tables = I.IngestTables(str(tmp_path / "tables"))
+    scope = "tenant_id string, kb_id string, doc_id string"
+    messages = [_message(docId="a", jobId="z", content="old text"), _message(docId="a", jobId="b", content="new text"), _message(docId="c", content="other")]
+    raw = spark.createDataFrame([(m, k) for k, m in enumerate(messages)], "value string, seq long")
+    tables.ingest(raw, 0)
+    tables.delete(spark.createDataFrame([("t", "k", "unknown")], scope))
+    texts = {r["doc_id"]: r["text"] for r in tables.chunks.read(spark).filter("chunk_type = 'child'").collect()}
+    assert texts == {"a": "new text", "c": "other"}
+    tables.delete(spark.createDataFrame([("t", "k", "a")], scope))
+    tables.ingest(spark.createDataFrame([(_message(docId="a", jobId="n", content="again"), 0)], "value string, seq long"), 1)
+    assert {r["doc_id"] for r in tables.chunks.read(spark).collect()} == {"c"}
