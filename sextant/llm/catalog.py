@@ -81,8 +81,8 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH RECURSIVE good AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND list_sum(list_transform(embedding, x -> abs(x))) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
 pairs AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND array_cosine_similarity(a.v, b.v) >= 0.98),
