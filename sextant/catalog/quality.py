@@ -17,7 +17,7 @@ KS = (1, 3, 5, 10)
 
 def _hits(spark, sf_dir):
     found = top_per_group(
-        overlap_hits(spark, sf_dir, 7), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], 20, rank="rank"
+        overlap_hits(spark, sf_dir, 7), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], None, rank="rank"
     )
     details = line_chunks(spark, sf_dir).select("chunk_id", "doc_id", F.col("file_name").alias("title"), "text")
     return found.select("query_id", "rank", "chunk_id", "parent_id", "score").join(details, "chunk_id")
