@@ -149,12 +149,15 @@ def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One document of each group: the one with the smallest id; columns are kept.
 
+    ``groups`` has the ``component_id`` of every ``doc_id``; by default that of the fingerprints.
+
     Repeated rows of that id and text are one document. Of documents without an id, those
     stay whose whole group has none, one for each text.
     """
-    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    groups = near_duplicates(docs) if groups is None else groups
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
