@@ -1,8 +1,9 @@
 """License scans: fixed phrases, and an exact set-similarity join with notice templates.
 
 The join finds every text block that holds at least ``THRESHOLD`` of a template's words. A
-block is a line; a line longer than two of the longest templates is cut into windows of
-that length that overlap by half, so that any notice lies whole in one of them. Words are
+block is a line, or a window of two of the longest templates; windows overlap by half and
+are cut from long lines and from all words of the text, so that any notice, however it is
+wrapped over lines, lies whole in one of them. Words are
 ordered by the number of documents that hold them, rarest first, over the whole table.
 A template of t words, c of which are needed, and a block that holds c of them share one of
 the template's t - c + 1 rarest words (prefix filter). Blocks of fewer template words than
@@ -69,8 +70,8 @@ def _phrase_starts(tokens: Column, phrase: str) -> Column:
     return F.when(F.array_contains(tokens, rare), found).otherwise(F.array().cast("array<int>"))
 
 
-def _blocks(lowered: Column, width: int) -> Column:
-    """Word lists of the lines, long lines as overlapping windows."""
+def _blocks(lowered: Column, tokens: Column, width: int) -> Column:
+    """Word lists of the lines and of the whole text, long ones as overlapping windows."""
 
     def cut(line: Column) -> Column:
         step = width // 2
@@ -79,7 +80,8 @@ def _blocks(lowered: Column, width: int) -> Column:
         )
         return F.when(F.size(line) <= width, F.array(line)).otherwise(windows)
 
-    return F.flatten(F.transform(F.split(lowered, "\n"), lambda line: let(words(line, BREAKS), cut)))
+    lines = F.flatten(F.transform(F.split(lowered, "\n"), lambda line: let(words(line, BREAKS), cut)))
+    return F.concat(lines, cut(tokens))
 
 
 def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
@@ -126,7 +128,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         F.monotonically_increasing_id().alias("row_id"), "doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("lowered")
     ).withColumn("tokens", words(lowered, BREAKS))
     blocks = F.filter(
-        F.transform(_blocks(lowered, width), lambda b: F.array_intersect(literals(order), b)), lambda b: F.size(b) >= least
+        F.array_distinct(F.transform(_blocks(lowered, tokens, width), lambda b: F.array_intersect(literals(order), b))),
+        lambda b: F.size(b) >= least,
     )
     base = read.select(
         "row_id",

@@ -75,6 +75,32 @@ def test_licenses_of_the_table(spark):
         assert got[row["doc_id"]] == plain_license(row["text"])
 
 
+WRAPPED = [
+    (1, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "bsd"),
+    (2, "modify it under the terms of the GNU Lesser General Public\nLicense as published by", "lgpl"),
+    (3, "This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0.", "mpl-2"),
+    (4, "x y\n" * 200 + "you may not use this\nfile except in\ncompliance with\nthe License.\n" + "y z\n" * 300, "apache-2"),
+    (5, "\n".join("permission is hereby granted free of charge to any person obtaining a copy of this software".split()), "mit"),
+]
+
+
+def plain_windows(text):
+    """Labels and best score of the windows of all words."""
+    w = WORD.findall(text.lower())
+    width = 2 * max(len(t.split()) for _, t in licenses.TEMPLATES)
+    return plain_license("\n".join(" ".join(w[i : i + width]) for i in range(0, max(1, len(w)), width // 2)))[-2:]
+
+
+def test_wrapped_notices(spark):
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, [x[:2] for x in WRAPPED])).collect()}
+    for i, text, label in WRAPPED:
+        labels, score = plain_windows(text)
+        lines, line_score = plain_license(text)[-2:]
+        assert label in got[i]["labels"].split(",") and label not in lines.split(","), i
+        assert got[i]["labels"] == ",".join(sorted({*labels.split(","), *lines.split(",")} - {""})), i
+        assert got[i]["score"] == max(score, line_score), i
+
+
 # --- quality ---
 
 
