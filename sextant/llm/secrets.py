@@ -5,7 +5,8 @@ matches themselves give every match's place, in characters. Random-looking strin
 runs of key characters. A window slides over each; the sum of ``n * log2(n)`` over its
 character counts is updated from the counts of the character that enters and the one that
 leaves, which gives the window's Shannon entropy. Windows over the limit of the run's
-character class are joined to spans, unless an allow-list pattern explains the run.
+character class are joined to spans, except those that overlap a match of an allow-list
+pattern. Only runs with two letters and two digits are scanned.
 
 Cases: a null text is empty; an empty text has no spans; rows keep their place, so
 repeated rows give equal rows; an empty table gives no rows; other columns, whatever their
@@ -30,8 +31,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Bits per character that a window needs, by the character class of its run.
-LIMITS = {"hex": 3.0, "mixed": 3.75}
-#: Runs that look random but are no secrets: identifiers, alphabets, place holders.
+LIMITS = {"hex": 3.0, "mixed": 3.75, "lower": 3.5, "upper": 3.5}
+#: What looks random but is no secret: identifiers, alphabets, place holders.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|dummy|redacted|sample",
@@ -67,8 +68,11 @@ def _n_log_n(n: Column) -> Column:
     return n * F.log2(F.greatest(n, F.lit(1)))
 
 
-def _entropy_windows(chars: Column, limit: Column, window: int) -> Column:
-    """Unions of the windows of an array of characters whose entropy reaches the limit."""
+def _entropy_windows(chars: Column, limit: Column, window: int, allowed: Column) -> Column:
+    """Unions of the windows of an array of characters whose entropy reaches the limit.
+
+    Windows that overlap one of the allowed spans do not count.
+    """
 
     def count(array: Column, c: Column) -> Column:
         return F.size(F.filter(array, lambda x: x == c))
@@ -86,10 +90,11 @@ def _entropy_windows(chars: Column, limit: Column, window: int) -> Column:
 
             def judged(total: Column) -> Column:
                 bits = F.lit(window).cast("double")
+                first = p - window + 1
                 high = (p >= window - 1) & (F.log2(bits) - total / bits >= limit)
+                high = high & ~F.exists(allowed, lambda x: (x["start"] <= p) & (x["stop"] > first))
                 joins = F.size(state["spans"]) > 0
                 last = F.element_at(state["spans"], -1)
-                first = p - window + 1
                 grown = F.when(
                     joins & (first <= last["stop"]),
                     F.concat(
@@ -110,13 +115,19 @@ def _entropy_windows(chars: Column, limit: Column, window: int) -> Column:
 
 
 def _random_spans(text: Column, window: int, limits: dict[str, float]) -> Column:
-    """Entropy spans of the runs that mix letters and digits and no allow-list pattern explains."""
+    """Entropy spans of the runs that mix letters and digits, beside what the allow-list explains."""
 
     def scanned(run: Column) -> Column:
-        hexadecimal = run["text"].rlike("^[0-9a-fA-F-]+$")
-        limit = F.when(hexadecimal, F.lit(limits["hex"])).otherwise(F.lit(limits["mixed"]))
+        limit = (
+            F.when(run["text"].rlike("^[0-9a-fA-F-]+$"), F.lit(limits["hex"]))
+            .when(~run["text"].rlike("[A-Z]"), F.lit(limits["lower"]))
+            .when(~run["text"].rlike("[a-z]"), F.lit(limits["upper"]))
+            .otherwise(F.lit(limits["mixed"]))
+        )
+        allowed = F.concat(*[_spans(run["text"], pattern, 0) for pattern in ALLOWED])
+        windows = let(allowed, lambda held: let(F.split(run["text"], ""), lambda chars: _entropy_windows(chars, limit, window, held)))
         return F.transform(
-            let(F.split(run["text"], ""), lambda chars: _entropy_windows(chars, limit, window)),
+            windows,
             lambda x: F.struct(
                 (run["start"] + x["start"]).alias("start"),
                 F.lit(len(KINDS) - 1).alias("rank"),
@@ -125,12 +136,7 @@ def _random_spans(text: Column, window: int, limits: dict[str, float]) -> Column
         )
 
     def suspicious(run: Column) -> Column:
-        letters = run["text"].rlike("[0-9].*[0-9]") & run["text"].rlike("[A-Za-z].*[A-Za-z]")
-        cased = run["text"].rlike("^[0-9a-fA-F-]+$") | (run["text"].rlike("[A-Z]") & run["text"].rlike("[a-z]"))
-        allowed = F.lit(False)
-        for pattern in ALLOWED:
-            allowed = allowed | run["text"].rlike(pattern)
-        return letters & cased & ~allowed
+        return run["text"].rlike("[0-9].*[0-9]") & run["text"].rlike("[A-Za-z].*[A-Za-z]")
 
     found = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
     runs = F.transform(
@@ -151,7 +157,7 @@ def secret_spans(text: Column, window: int = WINDOW, limits: dict[str, float] |
 
         def with_random(base: Column) -> Column:
             fresh = F.filter(
-                _random_spans(t, window, limits or LIMITS),
+                _random_spans(t, window, LIMITS | (limits or {})),
                 lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["stop"] >= x["stop"])),
             )
             return F.array_sort(F.concat(base, fresh))

@@ -201,3 +201,35 @@ def test_secrets_are_masked(spark):
     assert got[4]["text"] == "é [secret] [secret] \U0001f600 [secret]"
     assert got[9]["text"] == "[secret] " * 3000 and got[9]["secret_spans"] == 1
     assert secrets.redact(docs.limit(0)).columns == docs.columns
+
+
+KEYS = [
+    (1, "lower k7x2m9q4w8z1v5t3n6p0r2y8 end", "lower", ""),
+    (2, "seed QX7MZ2LK5WVR3TNP6YHDJ4BS end", "upper", ""),
+    (3, "at bucket/sample/aB3dE5fG7hJ9kL1mN0pQ2rS4tU6vW8xY end", "mixed", "sample"),
+    (4, "at k7x2m9q4w8z1v5t3n6p0r2y8=dummy=u3h7c1x9e5b2k8m4z6q0w7j1 end", "lower", "dummy"),
+    (5, "an example-of-2-words-and-1-number end", "lower", "example"),
+]
+
+
+def plain_entropy(text, kind, allowed):
+    spans = []
+    for m in re.finditer(secrets.RUN, text):
+        high = entropy_windows(m[0], secrets.WINDOW, secrets.LIMITS[kind])
+        at = m[0].find(allowed) if allowed else len(text)
+        for i in (i for i, h in enumerate(high) if h and not (i < at + len(allowed) and at < i + secrets.WINDOW)):
+            start, stop = m.start() + i, m.start() + i + secrets.WINDOW
+            if spans and start <= spans[-1][1]:
+                spans[-1][1] = stop
+            else:
+                spans.append([start, stop])
+    return ",".join(f"entropy:{a}:{b}" for a, b in spans)
+
+
+def test_keys_of_one_case_and_beside_allowed_words(spark):
+    rows = [k[:2] for k in KEYS]
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(frame(spark, rows)).collect()}
+    assert got == {i: plain_entropy(*rest) for i, *rest in KEYS}
+    assert got[1] == "entropy:6:30" and got[2] == "entropy:5:29" and all(got[i] for i in range(1, 5))
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, rows)).collect()}
+    assert masked[1] == "lower [secret] end" and masked[2] == "seed [secret] end"
