@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.catalog.base import table
-from sextant.llm import bpe, embedding_blocks, html_tree, licenses, packing, quality_rules, secrets, simhash, suffix_buckets, token_files
+from sextant.llm import bpe, embedding_blocks, fill_middle, html_tree, licenses, packing, quality_rules, secrets, simhash, suffix_buckets, token_files
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -95,3 +95,29 @@ FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""
 )
 def op10_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_blocks.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+@oracle(
+    r"""WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+h AS (
+  SELECT *, CASE WHEN text = '' THEN CAST([] AS VARCHAR[]) ELSE regexp_extract_all(text, '[^\n]*\n|[^\n]+') END AS units,
+    list_transform([0, 1, 2, 3], lambda k: CAST('0x' || substr(digest, 1 + 8 * k, 8) AS BIGINT)) AS h FROM t),
+cuts AS (
+  SELECT *, len(units) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a,
+    greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b FROM h),
+parts AS (
+  SELECT doc_id, text, n, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m,
+    array_to_string(units[b + 1:], '') AS s,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+      WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
+FROM parts"""
+)
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
