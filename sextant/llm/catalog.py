@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.catalog.base import table
-from sextant.llm import bpe, embedding_blocks, fill_middle, html_tree, licenses, packing, quality_rules, secrets, simhash, suffix_buckets, token_files
+from sextant.llm import bpe, embedding_blocks, fill_middle, html_tree, licenses, line_runs, packing, quality_rules, secrets, simhash, suffix_buckets, token_files
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -121,3 +121,20 @@ FROM parts"""
 )
 def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+@oracle(
+    r"""WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (
+  SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN common c ON c.key = k.key GROUP BY doc_id"""
+)
+def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.digest(table(spark, sf_dir, "documents"))
