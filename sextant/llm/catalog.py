@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.catalog.base import table
-from sextant.llm import bpe, embedding_blocks, fill_middle, html_tree, licenses, line_runs, packing, quality_rules, secrets, simhash, suffix_buckets, token_files
+from sextant.llm import bpe, embedding_blocks, fill_middle, html_tree, licenses, line_runs, packing, quality_rules, secrets, simhash, spelling, suffix_buckets, token_files
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -123,6 +123,45 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(table(spark, sf_dir, "documents"))
 
 
+@query
+@oracle(
+    r"""WITH RECURSIVE tab AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents),
+lowered AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS b FROM lowered),
+summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, b),
+    lambda c, x: xor(c // 256, t[1 + xor(c % 256, x)]))) AS h FROM bytes, tab),
+cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+holes AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b
+  FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+pairs AS (
+  SELECT x.word, y.word AS near, y.n FROM holes x JOIN holes y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.a || h.b
+  UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.a || h.b),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM pairs GROUP BY word),
+judged AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 10 * w.n THEN b.near END AS form,
+    CASE WHEN b.near_n >= 10 * w.n THEN b.near_n END AS form_n FROM words w LEFT JOIN best b USING (word)),
+walk AS (
+  SELECT word, word AS root FROM judged UNION ALL
+  SELECT k.word, j.form FROM walk k JOIN judged j ON j.word = k.root AND j.form IS NOT NULL),
+ends AS (SELECT k.word, k.root FROM walk k JOIN judged j ON j.word = k.root AND j.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN ends USING (word)"""
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query
 @oracle(
     r"""WITH l AS (
