@@ -34,14 +34,14 @@ pref AS (
   SELECT item_id, prefix FROM (
     SELECT item_id, prefix, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS n FROM pref_flat GROUP BY item_id, prefix)
   WHERE n <= 16),
+freq AS (SELECT token, log10((SELECT count(DISTINCT chunk_id) FROM postings) / count(*)) AS idf FROM postings GROUP BY token),
 hits AS (
-  SELECT p.prefix, t.kb_id, t.chunk_id, sum(t.tf) AS tf FROM (SELECT DISTINCT prefix FROM pref) p
-  JOIN postings t ON starts_with(t.token, p.prefix) GROUP BY ALL),
-freq AS (SELECT prefix, log10((SELECT count(DISTINCT chunk_id) FROM postings) / count(*)) AS idf FROM hits GROUP BY prefix),
+  SELECT p.prefix, t.kb_id, t.chunk_id, sum(t.tf * f.idf * f.idf) AS points FROM (SELECT DISTINCT prefix FROM pref) p
+  JOIN freq f ON starts_with(f.token, p.prefix) JOIN postings t USING (token) GROUP BY ALL),
 need AS (SELECT item_id, count(*) AS need FROM pref GROUP BY item_id),
 fulltext AS (
-  SELECT CAST(p.item_id AS VARCHAR) || '@' || h.kb_id AS query_id, h.kb_id, h.chunk_id, round(sum(h.tf * f.idf * f.idf), 9) AS score
-  FROM pref p JOIN hits h USING (prefix) JOIN freq f USING (prefix) JOIN need n ON n.item_id = p.item_id
+  SELECT CAST(p.item_id AS VARCHAR) || '@' || h.kb_id AS query_id, h.kb_id, h.chunk_id, round(sum(h.points), 9) AS score
+  FROM pref p JOIN hits h USING (prefix) JOIN need n ON n.item_id = p.item_id
   GROUP BY p.item_id, h.kb_id, h.chunk_id, n.need HAVING count(*) = n.need),
 fulltext_top AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM fulltext) WHERE rn <= 5)"""
@@ -56,8 +56,8 @@ fulltext_top AS (
     ),
 )
 def fulltext_candidates(spark, sf_dir):
-    postings = store(K.build_postings(child_chunks(spark, sf_dir)), "postings")
-    found = K.fulltext_candidates(questions(spark, sf_dir), postings)
+    index = K.build_keyword_index(store(child_chunks(spark, sf_dir), "chunks"))
+    found = K.fulltext_candidates(store(questions(spark, sf_dir), "questions"), index)
     return found.select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -84,9 +84,9 @@ like_top AS (
     ),
 )
 def like_candidates(spark, sf_dir):
-    return K.like_candidates(questions(spark, sf_dir), store(child_chunks(spark, sf_dir), "chunks")).select(
-        "query_id", "kb_id", "chunk_id", "score"
-    )
+    index = K.build_keyword_index(store(child_chunks(spark, sf_dir), "chunks"))
+    found = K.like_candidates(store(questions(spark, sf_dir), "questions"), index)
+    return found.select("query_id", "kb_id", "chunk_id", "score")
 
 
 _SHORT_TERMS = LIKE_TERMS.replace("FROM benchmark", "FROM asked_items")
@@ -107,9 +107,9 @@ switched AS (
     ),
 )
 def like_fallback_switch(spark, sf_dir):
-    asked = questions(spark, sf_dir)
-    postings = store(K.build_postings(child_chunks(spark, sf_dir)), "postings")
-    return K.needs_like_search(asked, K.fulltext_candidates(asked, postings)).select("query_id")
+    asked = store(questions(spark, sf_dir), "questions")
+    index = K.build_keyword_index(store(child_chunks(spark, sf_dir), "chunks"))
+    return K.needs_like_search(asked, K.fulltext_candidates(asked, index)).select("query_id")
 
 
 _SEARCH = with_ctes(
@@ -133,10 +133,10 @@ found AS (
 
 @query("keyword_search", "KW4 KW5 FLT1", _SEARCH)
 def keyword_search(spark, sf_dir):
-    chunks, asked = store(child_chunks(spark, sf_dir), "chunks"), questions(spark, sf_dir)
-    postings = store(K.build_postings(chunks), "postings")
-    fulltext = store(K.fulltext_candidates(asked, postings), "fulltext")
-    found = K.keyword_search(asked, chunks, postings, fulltext=fulltext)
+    asked = store(questions(spark, sf_dir), "questions")
+    index = K.build_keyword_index(store(child_chunks(spark, sf_dir), "chunks"))
+    fulltext = store(K.fulltext_candidates(asked, index), "fulltext")
+    found = K.keyword_search(asked, index, fulltext=fulltext)
     return found.select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
 
 

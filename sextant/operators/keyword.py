@@ -1,30 +1,114 @@
-"""Keyword search for many queries at once.
+"""Keyword search for many queries at once, over posting tables that are written once.
 
-Nothing here pairs queries with chunks. A full-text match walks from the rarest
-required prefix of a query through the postings; a substring match walks from the
-query's terms through the distinct words that contain them.
+Nothing here pairs queries with chunks. A full-text match reads the postings of a query's
+rarest required prefix and checks the others on the chunks found. A substring search reads
+the postings of rare terms first; scores of the chunks that they find tell which of the
+common terms can still bring a chunk among the best, and only those are read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sextant.functions import lexical as L
 from sextant.functions.metadata import matches_query_filter
-from sextant.functions.strings import SPACE
+from sextant.functions.strings import CJK, SPACE
 from sextant.operators.ranking import top_per_group
-from sextant.session import store
+from sextant.session import store, store_bucketed
 from sextant.settings import DEFAULTS, Settings
 
 SCOPE = ["tenant_id", "kb_id"]
+CHUNK = [*SCOPE, "chunk_id"]
 _KEY_CHARS = 8
+#: Characters of a stored word piece, and of the part of a term that is looked up in it.
+_PIECE, _ANCHOR = 32, 16
+#: Candidates that a query looks at, for each wanted row, before it knows its least score.
+_SEED = 4
+
+
+@dataclass(frozen=True)
+class KeywordIndex:
+    """Posting tables of searchable chunks.
+
+    ``tokens`` (scope, token, chunk_id, tf) and ``words`` (scope, word, chunk_id) are hashed by
+    scope and key; ``token_counts`` and ``word_counts`` hold the chunks of each; ``grams`` (gram,
+    word) finds words by their pieces of one to three characters.
+    """
+
+    chunks: DataFrame
+    tokens: DataFrame
+    token_counts: DataFrame
+    words: DataFrame
+    word_counts: DataFrame
+    grams: DataFrame
+    n_chunks: int
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
     """(scope, chunk_id, token, tf); repeats are counted on the map side first."""
-    tokens = chunks.select(*SCOPE, "chunk_id", F.explode(L.index_tokens("text")).alias("token"))
-    return tokens.groupBy(*SCOPE, "chunk_id", "token").agg(F.count("*").alias("tf"))
+    tokens = chunks.select(*CHUNK, F.explode(L.index_tokens("text")).alias("token"))
+    return tokens.groupBy(*CHUNK, "token").agg(F.count("*").alias("tf"))
+
+
+def word_pieces(text: Column) -> Column:
+    """Distinct pieces of a lower-cased text of which every short blank-free string is in one.
+
+    Runs of CJK characters have no blanks, so they give their pairs; other runs give
+    overlapping pieces of bounded length. The vocabulary of such pieces stays small.
+    """
+    runs = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)[{CJK}]+|(?:(?!{SPACE})[^{CJK}])+"), F.lit(0))
+
+    def pieces(run: Column) -> Column:
+        pair = run.rlike(f"^[{CJK}]")
+        width = F.when(pair, F.lit(2)).otherwise(F.lit(_PIECE))
+        step = F.when(pair, F.lit(1)).otherwise(F.lit(_PIECE - _ANCHOR))
+        last = F.greatest(F.length(run) - width + step, F.lit(1))
+        return F.when(F.length(run) <= width, F.array(run)).otherwise(
+            F.transform(F.sequence(F.lit(1), last, step), lambda i: F.substring(run, i, width))
+        )
+
+    return F.array_distinct(F.flatten(F.transform(runs, pieces)))
+
+
+def term_anchor(term: Column) -> Column:
+    """The part of a term that a piece of every text with the term contains: its longest run, cut."""
+    runs = F.regexp_extract_all(term, F.lit(rf"(?U)[{CJK}]+|(?:(?!{SPACE})[^{CJK}])+"), F.lit(0))
+    cut = F.transform(
+        runs, lambda r: F.when(r.rlike(f"^[{CJK}]"), F.substring(r, 1, 2)).otherwise(F.substring(r, 1, _ANCHOR))
+    )
+    longest = F.sort_array(F.transform(cut, lambda r, i: F.struct((-F.length(r)).alias("n"), i.alias("i"), r.alias("r"))))
+    return F.get(longest, F.lit(0))["r"]
+
+
+def word_grams(words: DataFrame) -> DataFrame:
+    """(gram, word): the strings of one to three characters in each word."""
+    sizes = F.sequence(F.lit(1), F.least(F.length("word"), F.lit(3)))
+    spots = F.transform(
+        sizes,
+        lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, n)),
+    )
+    return words.select("word", F.explode(F.array_distinct(F.flatten(spots))).alias("gram"))
+
+
+def build_keyword_index(chunks: DataFrame) -> KeywordIndex:
+    """Write the posting tables of ``chunks`` (scope, chunk_id, text, file_name, metadata)."""
+    tokens = store_bucketed(build_postings(chunks), "tokens", [*SCOPE, "token"])
+    pieces = chunks.select(*CHUNK, F.explode(word_pieces(F.col("text"))).alias("word"))
+    words = store_bucketed(pieces, "words", [*SCOPE, "word"])
+    word_counts = store(words.groupBy(*SCOPE, "word").agg(F.count("*").alias("chunks")), "word-counts")
+    return KeywordIndex(
+        chunks=chunks,
+        tokens=tokens,
+        token_counts=store(tokens.groupBy(*SCOPE, "token").agg(F.count("*").alias("chunks")), "token-counts"),
+        words=words,
+        word_counts=word_counts,
+        grams=store_bucketed(word_grams(word_counts.select("word").distinct()), "grams", ["gram"]),
+        n_chunks=chunks.filter(F.size(L.raw_tokens("text")) > 0).select(*CHUNK).distinct().count(),
+    )
 
 
 def metadata_text(file_name="file_name", metadata="metadata") -> Column:
@@ -32,86 +116,41 @@ def metadata_text(file_name="file_name", metadata="metadata") -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def contains_matches(texts: DataFrame, id_cols: list[str], text: str, terms: DataFrame) -> DataFrame:
-    """(ids, term) for every term that occurs in the lower-cased text.
+def term_words(terms: DataFrame, grams: DataFrame) -> DataFrame:
+    """(term, word) for the words that hold the anchor of a term, met over its first characters."""
+    anchors = terms.select("term").distinct().withColumn("anchor", term_anchor(F.col("term")))
+    keyed = anchors.withColumn("gram", F.substring("anchor", 1, 3))
+    return keyed.join(grams, "gram").filter(F.contains("word", "anchor")).select("term", "word")
 
-    The longest blank-free run of a term lies inside one word of a text that holds the
-    term. Runs are matched to the distinct words over a three-character key, words to
-    texts by equality, and terms with blanks are checked against the text at the end.
-    """
-    words = texts.select(
-        *id_cols, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), rf"(?U){SPACE}+"))).alias("word")
-    ).filter("word != ''")
-    runs = F.split("term", rf"(?U){SPACE}+")
-    longest = F.element_at(
-        F.sort_array(F.transform(runs, lambda r, i: F.struct((-F.length(r)).alias("n"), i.alias("i"), r.alias("r")))), 1
-    )["r"]
-    anchors = (
-        terms.select("term")
-        .distinct()
-        .withColumn("anchor", longest)
-        .withColumn("gram", F.substring("anchor", 1, 3))
-    )
-
-    vocabulary = words.select("word").distinct()
-
-    def matched(keys: DataFrame, size: int) -> DataFrame:
-        """Words holding an anchor, met over the anchor's first ``size`` characters."""
-        spots = F.sequence(F.lit(1), F.length("word") - size + 1)
-        grams = F.array_distinct(F.transform(spots, lambda i: F.substring(F.col("word"), i, F.lit(size))))
-        return (
-            vocabulary.filter(F.length("word") >= size)
-            .select("word", F.explode(grams).alias("gram"))
-            .join(keys, "gram")
-            .filter(F.contains("word", "anchor"))
-            .select("word", "term", (F.col("term") != F.col("anchor")).alias("check"))
-        )
 
-    word_terms = matched(anchors.filter(F.length("anchor") >= 3), 3)
-    for size in (1, 2):
-        short = anchors.filter(F.length("anchor") == size)
-        if not short.isEmpty():  # most searches have no term this short
-            word_terms = word_terms.unionByName(matched(short, size))
-    # both halves below read the matches
-    found = store(words.join(word_terms, "word").select(*id_cols, "term", "check").distinct(), "term-matches")
-    sure = found.filter(~F.col("check")).select(*id_cols, "term")
-    checked = (
-        found.filter("check")
+def contains_matches(texts: DataFrame, id_cols: list[str], text: str, terms: DataFrame) -> DataFrame:
+    """(ids, term) for every term that occurs in the lower-cased text, for small sets of texts."""
+    words = texts.select(*id_cols, F.explode(word_pieces(F.col(text))).alias("word"))
+    found = term_words(terms, word_grams(words.select("word").distinct()))
+    return (
+        words.join(found, "word")
+        .select(*id_cols, "term")
+        .distinct()
         .join(texts.select(*id_cols, text), id_cols)
         .filter(F.contains(F.lower(F.col(text)), F.col("term")))
         .select(*id_cols, "term")
     )
-    return sure.unionByName(checked)
-
 
-def prefix_postings(postings: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(scope, chunk_id, prefix, tf) of the wanted prefixes.
 
-    The vocabulary is keyed by its first one to eight characters, so the match is an
-    equi-join; longer prefixes are confirmed afterwards.
-    """
-    vocabulary = postings.select("token").distinct()
-    keyed = vocabulary.select(
-        "token",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.least(F.length("token"), F.lit(_KEY_CHARS))),
-                lambda n: F.substring(F.col("token"), F.lit(1), n),
-            )
-        ).alias("key"),
+def prefix_tokens(prefixes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(prefix, token) of the wanted prefixes, met over the tokens' first one to eight characters."""
+    keys = F.transform(
+        F.sequence(F.lit(1), F.least(F.length("token"), F.lit(_KEY_CHARS))),
+        lambda n: F.substring(F.col("token"), F.lit(1), n),
     )
+    keyed = tokens.select("token", F.explode(keys).alias("key"))
     wanted = prefixes.select("prefix").distinct().withColumn("key", F.substring("prefix", 1, _KEY_CHARS))
-    token_prefix = (
-        keyed.join(wanted, "key").filter(F.startswith("token", "prefix")).select("token", "prefix")
-    )
-    return (
-        postings.join(token_prefix, "token").groupBy(*SCOPE, "chunk_id", "prefix").agg(F.sum("tf").alias("tf"))
-    )
+    return keyed.join(wanted, "key").filter(F.startswith("token", "prefix")).select("prefix", "token")
 
 
-def _scoped_filter(pairs: DataFrame, chunks: DataFrame | None, queries: DataFrame) -> DataFrame:
+def _scoped_filter(pairs: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Apply the per-query metadata filter to candidate pairs before they are ranked."""
-    if chunks is None or "metadata_filter" not in queries.columns:
+    if "metadata_filter" not in queries.columns:
         return pairs
     wanted = queries.select("query_id", *SCOPE, "metadata_filter")
     return (
@@ -123,94 +162,199 @@ def _scoped_filter(pairs: DataFrame, chunks: DataFrame | None, queries: DataFram
 
 
 def fulltext_candidates(
-    queries: DataFrame, postings: DataFrame, chunks: DataFrame | None = None, settings: Settings = DEFAULTS,
-    bound: int | None = None,
+    queries: DataFrame, index: KeywordIndex, settings: Settings = DEFAULTS, bound: int | None = None
 ) -> DataFrame:
-    """Chunks holding every required prefix, scored by the sum of tf times squared idf.
+    """Chunks holding every required prefix, scored by the sum of tf times squared idf of its tokens.
 
-    ``queries``: query_id, scope, query, top_k. Document frequencies are over the whole
-    table. Candidates come from the rarest prefix only and are confirmed against the
-    other prefixes, so common words cost nothing.
+    ``queries``: query_id, scope, query, top_k. A token's document frequency is its stored
+    count over the whole table. Only the postings of each query's rarest prefix are read; the
+    other prefixes are looked for in the chunks found, each of which is read once.
     """
     bound = bound or settings.candidate_bound
     terms = queries.select(
         "query_id", *SCOPE, "top_k",
         F.explode(L.required_prefixes("query", settings.fulltext_max_terms)).alias("prefix"),
     )
-    hits = store(prefix_postings(postings, terms), "prefix-hits")  # read three times
-    size = postings.agg(F.count_distinct(*SCOPE, "chunk_id").alias("n")).withColumn("one", F.lit(1))
-    frequency = (
-        hits.groupBy("prefix").agg(F.count("*").alias("df")).withColumn("one", F.lit(1)).join(size, "one").drop("one")
+    totals = index.token_counts.groupBy("token").agg(F.sum("chunks").alias("df"))
+    idf = F.log10(F.lit(float(index.n_chunks)) / F.col("df"))
+    known = store(
+        prefix_tokens(terms, totals.select("token")).join(totals, "token").select("prefix", "token", (idf * idf).alias("weight")),
+        "prefix-tokens",
     )
-    need = terms.groupBy("query_id", *SCOPE).agg(F.count("*").alias("need"))
-    weighted = (
-        terms.join(frequency, "prefix")
-        .join(need, ["query_id", *SCOPE])
-        .withColumn("idf", F.log10(F.col("n") / F.col("df")))
-        .select("query_id", *SCOPE, "top_k", "need", "prefix", "df", "idf")
+    sizes = (
+        index.token_counts.join(known.select("prefix", "token"), "token")
+        .join(terms.select(*SCOPE, "prefix").distinct(), [*SCOPE, "prefix"])
+        .groupBy(*SCOPE, "prefix")
+        .agg(F.sum("chunks").alias("size"))
     )
-    rarest = weighted.groupBy("query_id", *SCOPE).agg(F.min_by("prefix", F.struct("df", "prefix")).alias("prefix"))
-    pairs = rarest.join(hits, [*SCOPE, "prefix"]).select("query_id", *SCOPE, "chunk_id")
+    # a prefix that its scope does not hold leaves the query without a match
+    rarest = (
+        terms.join(sizes, [*SCOPE, "prefix"], "left")
+        .groupBy("query_id", *SCOPE, "top_k")
+        .agg(
+            F.count("*").alias("need"),
+            F.count("size").alias("held"),
+            F.min_by("prefix", F.struct("size", "prefix")).alias("rarest"),
+        )
+        .filter("need = held")
+        .drop("held")
+    )
+    rarest = store(rarest, "rarest-prefixes")
+    opened = rarest.select(*SCOPE, F.col("rarest").alias("prefix")).distinct().join(known.select("prefix", "token"), "prefix")
+    postings = index.tokens.join(opened, [*SCOPE, "token"]).select(*CHUNK, F.col("prefix").alias("rarest")).distinct()
+    pairs = store(rarest.join(postings, [*SCOPE, "rarest"]).drop("rarest"), "fulltext-pairs")
+    bodies = index.chunks.select(*CHUNK, "text").join(pairs.select(*CHUNK).distinct(), CHUNK, "left_semi")
+    held = build_postings(bodies).join(known, "token").groupBy(*CHUNK, "prefix").agg(F.sum(F.col("tf") * F.col("weight")).alias("points"))
     scored = (
-        pairs.join(weighted, ["query_id", *SCOPE])
-        .join(hits, [*SCOPE, "chunk_id", "prefix"])
-        .groupBy("query_id", *SCOPE, "chunk_id", "top_k", "need")
-        .agg(F.count("*").alias("got"), F.sum(F.col("tf") * F.col("idf") * F.col("idf")).alias("score"))
+        pairs.join(terms.select("query_id", *SCOPE, "prefix"), ["query_id", *SCOPE])
+        .join(held, [*CHUNK, "prefix"])
+        .groupBy("query_id", *CHUNK, "top_k", "need")
+        .agg(F.count("*").alias("got"), F.sum("points").alias("score"))
         .filter("got = need")
-        .select("query_id", *SCOPE, "chunk_id", "top_k", F.round("score", 9).alias("score"))
+        .select("query_id", *CHUNK, "top_k", F.round("score", 9).alias("score"))
     )
-    scored = _scoped_filter(scored, chunks, queries)
+    scored = _scoped_filter(scored, index.chunks, queries)
     limited = top_per_group(
         scored, ["query_id", *SCOPE], [F.col("score").desc(), F.col("chunk_id")], F.col("top_k"), bound=bound
     )
-    return limited.select("query_id", *SCOPE, "chunk_id", "score")
+    return limited.select("query_id", *CHUNK, "score")
 
 
-def like_candidates(
-    queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS, bound: int | None = None
-) -> DataFrame:
-    """Chunks whose text or file and section names contain any search term.
-
-    The score sums term weights over the text and raised weights over the names; the
-    best five times top_k chunks of a query are returned.
-    """
-    bound = bound or settings.candidate_bound * 5
+def _like_terms(queries: DataFrame, settings: Settings) -> DataFrame:
+    """(query, scope, wanted, term, weight, meta_weight): the weighted terms of each query."""
     ranked = queries.select(
-        "query_id", *SCOPE, "top_k",
+        "query_id", *SCOPE, (F.col("top_k") * 5).alias("wanted"),
         F.posexplode(L.like_terms(L.search_terms("query"), settings.like_max_terms)).alias("pos", "term"),
     )
-    weighted = ranked.select(
-        "query_id", *SCOPE, "top_k", "term",
+    in_names = F.col("pos") < settings.like_metadata_max_terms
+    return ranked.select(
+        "query_id", *SCOPE, "wanted", "term",
         L.term_weight(F.col("term")).cast("long").alias("weight"),
-        F.when(F.col("pos") < settings.like_metadata_max_terms, L.metadata_term_weight(F.col("term")))
-        .cast("long")
-        .alias("meta_weight"),
+        F.when(in_names, L.metadata_term_weight(F.col("term"))).cast("long").alias("meta_weight"),
     )
-    wanted = weighted.select("term").distinct()
-    body = contains_matches(chunks.select(*SCOPE, "chunk_id", "text"), [*SCOPE, "chunk_id"], "text", wanted)
-    in_text = body.join(weighted, [*SCOPE, "term"]).select(
-        "query_id", *SCOPE, "chunk_id", "top_k", F.col("weight").alias("score")
+
+
+def _name_scores(terms: DataFrame, named: DataFrame) -> DataFrame:
+    """(query, scope, names, points) of the terms that stand in the names of a file and its sections.
+
+    Names repeat over the chunks of a file, so each distinct text is matched once.
+    """
+    wanted = terms.filter(F.col("meta_weight").isNotNull())
+    found = contains_matches(named.select(*SCOPE, "names").distinct(), [*SCOPE, "names"], "names", wanted)
+    return found.join(wanted, [*SCOPE, "term"]).groupBy("query_id", *SCOPE, "names").agg(F.sum("meta_weight").alias("points"))
+
+
+def _named_chunks(names: DataFrame, asked: DataFrame, queries: DataFrame, index: KeywordIndex, bound: int) -> DataFrame:
+    """The chunks that names alone bring a query: its best by that score, then by id, are enough.
+
+    A chunk of equal names is taken by its id, so each distinct filter takes the first chunks of
+    the names once, for all queries that use it.
+    """
+    held = index.chunks.select(*CHUNK, metadata_text().alias("names"), "metadata")
+    wanted = F.create_map().cast("map<string,string>")
+    if "metadata_filter" in queries.columns:
+        wanted = F.coalesce("metadata_filter", wanted)
+    entries = F.array_sort(F.map_entries(wanted))
+    rows = names.join(queries.select("query_id", *SCOPE, entries.alias("filter")), ["query_id", *SCOPE])
+    group = [*SCOPE, "names", "filter"]
+    first = (
+        rows.select(*group).distinct().join(held, [*SCOPE, "names"])
+        .filter(matches_query_filter("metadata", F.map_from_entries("filter")))
+        .select(*group, "chunk_id")
     )
-    named = chunks.select(*SCOPE, "chunk_id", metadata_text().alias("names"))
-    name_terms = weighted.filter(F.col("meta_weight").isNotNull())
-    # names repeat over the chunks of a file: match each distinct text once
-    name_hits = contains_matches(
-        named.select(*SCOPE, "names").distinct(), [*SCOPE, "names"], "names", name_terms
+    first = top_per_group(first, group, [F.col("chunk_id")], bound)
+    best = [F.col("points").desc(), F.col("chunk_id")]
+    return top_per_group(rows.join(first, group).join(asked, ["query_id", *SCOPE]), ["query_id", *SCOPE], best, F.col("wanted"), bound=bound)
+
+
+def _term_order(terms: DataFrame, index: KeywordIndex) -> DataFrame:
+    """Terms with their chunks at most (``size``), those before them (``before``) and the weight from them on (``rest``).
+
+    Rare terms come first. The size of a term of one or two characters is not looked up; such
+    terms come last.
+    """
+    long = term_words(terms.filter(F.length(term_anchor(F.col("term"))) >= 3), index.grams)
+    sizes = (
+        index.word_counts.join(long, "word").groupBy(*SCOPE, "term").agg(F.sum("chunks").alias("size"))
     )
-    per_name = name_hits.join(name_terms, [*SCOPE, "term"]).groupBy("query_id", *SCOPE, "names", "top_k").agg(
-        F.sum("meta_weight").alias("score")
+    short = F.length(term_anchor(F.col("term"))) < 3
+    size = F.when(short, F.lit(float("inf"))).otherwise(F.coalesce(F.col("size").cast("double"), F.lit(0.0)))
+    order = W.partitionBy("query_id", *SCOPE).orderBy("size", "term")
+    return (
+        terms.join(sizes, [*SCOPE, "term"], "left")
+        .withColumn("size", size)
+        .filter("size > 0")
+        .withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+        .withColumn("rest", F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
     )
-    in_names = named.join(per_name, [*SCOPE, "names"]).select("query_id", *SCOPE, "chunk_id", "top_k", "score")
-    scored = (
-        in_text.unionByName(in_names)
-        .groupBy("query_id", *SCOPE, "chunk_id", "top_k")
-        .agg(F.sum("score").cast("double").alias("score"))
+
+
+def _postings_of(terms: DataFrame, index: KeywordIndex) -> DataFrame:
+    """(scope, term, chunk_id) of the chunks that may hold a term of ``terms`` (scope, term)."""
+    wanted = term_words(terms, index.grams).join(terms, "term")
+    return index.words.join(wanted, [*SCOPE, "word"]).select(*SCOPE, "term", "chunk_id").distinct()
+
+
+def _like_scores(pairs: DataFrame, terms: DataFrame, names: DataFrame, index: KeywordIndex, queries: DataFrame) -> DataFrame:
+    """Exact scores of distinct (query, chunk) pairs; a chunk's text is read once."""
+    lists = terms.groupBy("query_id", *SCOPE, "wanted").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+    bodies = index.chunks.select(*CHUNK, F.lower("text").alias("low"), metadata_text().alias("names"))
+    met = pairs.join(lists, ["query_id", *SCOPE]).join(bodies, CHUNK).join(names, ["query_id", *SCOPE, "names"], "left")
+    points = F.aggregate(
+        "terms", F.lit(0).cast("long"), lambda sum_, t: sum_ + F.when(F.contains(F.col("low"), t["term"]), t["weight"]).otherwise(F.lit(0))
     )
-    scored = _scoped_filter(scored, chunks, queries)
-    limited = top_per_group(
-        scored, ["query_id", *SCOPE], [F.col("score").desc(), F.col("chunk_id")], F.col("top_k") * 5, bound=bound
+    scored = met.select("query_id", *CHUNK, "wanted", (points + F.coalesce("points", F.lit(0))).cast("double").alias("score"))
+    return _scoped_filter(scored.filter("score > 0"), index.chunks, queries)
+
+
+def like_candidates(
+    queries: DataFrame, index: KeywordIndex, settings: Settings = DEFAULTS, bound: int | None = None
+) -> DataFrame:
+    """Chunks whose text or file and section names contain any search term.
+
+    The score sums term weights over the text and raised weights over the names; the
+    best five times top_k chunks of a query are returned.
+
+    Max-score pruning: each query scores the chunks of its rarest terms (a few for each row it
+    wants) exactly; the last score wanted is a floor of its result. With the terms in order of
+    their counts, a chunk whose rarest term is some term scores at most the weights from there on,
+    plus the best score of a name. So terms whose bound is under the floor are not read at all: they
+    only add to chunks that another term found. At the floor itself the chunk's id decides.
+    """
+    bound = bound or settings.candidate_bound * 5
+    query = ["query_id", *SCOPE]
+    best = [F.col("score").desc(), F.col("chunk_id")]
+    terms = store(_like_terms(queries, settings), "like-terms")
+    named = index.chunks.select(*CHUNK, metadata_text().alias("names"))
+    names = store(_name_scores(terms, named), "name-scores")
+    ordered = store(_term_order(terms, index), "term-order")
+    by_name = _named_chunks(names, terms.select(*query, "wanted").distinct(), queries, index, bound)
+    # the floor: the first chunks of the rarest terms
+    seeds = ordered.filter(F.col("before") < _SEED * F.col("wanted"))
+    lead = top_per_group(_postings_of(seeds.select(*SCOPE, "term").distinct(), index), [*SCOPE, "term"], [F.col("chunk_id")], _SEED * bound)
+    seeded = seeds.join(lead, [*SCOPE, "term"]).select(*query, "chunk_id")
+    start = store(seeded.unionByName(by_name.select(*query, "chunk_id")).distinct(), "like-seeds")
+    scored = store(_like_scores(start, terms, names, index, queries), "like-scores")
+    floors = (
+        top_per_group(scored, query, best, F.col("wanted"), rank="place", bound=bound)
+        .filter("place = wanted")
+        .select(*query, F.col("score").alias("floor"), F.col("chunk_id").alias("floor_id"))
     )
-    return limited.select("query_id", *SCOPE, "chunk_id", "score")
+    most = names.groupBy(*query).agg(F.max("points").alias("most"))
+    limits = (
+        ordered.join(floors, query, "left")
+        .join(most, query, "left")
+        .withColumn("reach", F.col("rest") + F.coalesce("most", F.lit(0)))
+        .filter(F.col("floor").isNull() | (F.col("reach") >= F.col("floor")))
+        .select(*query, "term", F.when(F.col("reach") == F.col("floor"), F.col("floor_id")).alias("before_id"))
+    )
+    limits = store(limits, "like-limits")
+    opened = _postings_of(limits.select(*SCOPE, "term").distinct(), index)
+    more = limits.join(opened, [*SCOPE, "term"]).filter(F.col("before_id").isNull() | (F.col("chunk_id") < F.col("before_id")))
+    rest = more.select(*query, "chunk_id").distinct().join(start, [*query, "chunk_id"], "left_anti")
+    found = scored.unionByName(_like_scores(rest, terms, names, index, queries))
+    limited = top_per_group(found, query, best, F.col("wanted"), bound=bound)
+    return limited.select(*query, "chunk_id", "score")
 
 
 def needs_like_search(queries: DataFrame, fulltext: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -237,8 +381,8 @@ def merge_candidates(*groups: DataFrame) -> DataFrame:
 
 
 def keyword_search(
-    queries: DataFrame, chunks: DataFrame, postings: DataFrame, settings: Settings = DEFAULTS,
-    bound: int | None = None, fulltext: DataFrame | None = None,
+    queries: DataFrame, index: KeywordIndex, settings: Settings = DEFAULTS, bound: int | None = None,
+    fulltext: DataFrame | None = None,
 ) -> DataFrame:
     """Full-text and substring candidates, rescored on the text, best ``top_k`` per query.
 
@@ -248,13 +392,13 @@ def keyword_search(
     """
     bound = bound or settings.candidate_bound
     if fulltext is None:
-        fulltext = fulltext_candidates(queries, postings, chunks, settings, bound)
-    like = like_candidates(needs_like_search(queries, fulltext, settings), chunks, settings, bound * 5)
+        fulltext = fulltext_candidates(queries, index, settings, bound)
+    like = like_candidates(needs_like_search(queries, fulltext, settings), index, settings, bound * 5)
     merged = merge_candidates(fulltext, like).withColumnRenamed("score", "base_score")
     terms = queries.select("query_id", *SCOPE, "top_k", L.search_terms("query").alias("terms"))
     # each candidate chunk is tokenised once, however many queries it meets
     texts = (
-        chunks.select(*SCOPE, "chunk_id", "text")
+        index.chunks.select(*SCOPE, "chunk_id", "text")
         .join(merged.select(*SCOPE, "chunk_id").distinct(), [*SCOPE, "chunk_id"], "left_semi")
         .select(*SCOPE, "chunk_id", F.lower("text").alias("lowered"), L.tokenize("text").alias("tokens"))
     )

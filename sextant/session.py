@@ -52,3 +52,22 @@ def store(rows: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(rows.sparkSession, purpose)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def store_bucketed(rows: DataFrame, purpose: str, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Store rows hashed by ``keys`` and sorted in each bucket: joins on the keys read them without a shuffle.
+
+    The session lists the table under a fresh name; its files are in the shared folder. Join
+    such tables one by one: a union of them does not keep their hashing.
+    """
+    spark = rows.sparkSession
+    name = f"{purpose.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        rows.repartition(buckets, *keys)
+        .write.bucketBy(buckets, *keys)
+        .sortBy(*(order or keys))
+        .option("path", shared_dir(spark, purpose))
+        .saveAsTable(name)
+    )
+    return spark.table(name)
