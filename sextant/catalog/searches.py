@@ -27,9 +27,30 @@ def build_postings(spark, sf_dir):
     return K.build_postings(child_chunks(spark, sf_dir))
 
 
-# full-text: the whole passages are asked
-_FULLTEXT = f"""asks AS (SELECT item_id, text AS q FROM benchmark),
-pref_flat AS (SELECT item_id, unnest({raw_sql('q')}) AS prefix, generate_subscripts({raw_sql('q')}, 1) AS i FROM asks),
+# full-text: three words of a passage after the other are asked of whole documents
+_ASKS = "asks AS (SELECT item_id, text AS q FROM benchmark)"
+_PHRASES = """asks AS (
+  SELECT CAST(item_id AS VARCHAR) || '.' || i AS item_id, array_to_string(string_split(text, ' ')[3 * i + 1:3 * i + 3], ' ') AS q
+  FROM benchmark, unnest(range((len(string_split(text, ' ')) + 2) // 3)) AS u(i))"""
+
+
+def phrase_questions(spark, sf_dir):
+    words = F.split("query", " ")
+    starts = F.sequence(F.lit(0), F.floor((F.size(words) + 2) / 3).cast("int") - 1)
+    phrases = F.transform(starts, lambda i: F.array_join(F.slice(words, i * 3 + 1, F.lit(3)), " "))
+    rows = questions(spark, sf_dir).select("item_id", "tenant_id", "kb_id", "top_k", F.posexplode(phrases).alias("i", "query"))
+    item = F.concat_ws(".", "item_id", F.col("i").cast("string"))
+    return rows.select(F.concat_ws("@", item, "kb_id").alias("query_id"), "tenant_id", "kb_id", "query", "top_k")
+
+
+_WHOLE = "kids AS (SELECT * FROM chunks WHERE chunk_type = 'parent')"
+
+
+def whole_documents(spark, sf_dir):
+    return line_chunks(spark, sf_dir).filter("chunk_type = 'parent'")
+
+
+_FULLTEXT = f"""pref_flat AS (SELECT item_id, unnest({raw_sql('q')}) AS prefix, generate_subscripts({raw_sql('q')}, 1) AS i FROM asks),
 pref AS (
   SELECT item_id, prefix FROM (
     SELECT item_id, prefix, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS n FROM pref_flat GROUP BY item_id, prefix)
@@ -51,13 +72,13 @@ fulltext_top AS (
     "fulltext_candidates",
     "KW1",
     with_ctes(
-        DOCS, LINE_CHUNKS, _CHILDREN, _POSTINGS, _FULLTEXT,
+        DOCS, LINE_CHUNKS, _WHOLE, _POSTINGS, _PHRASES, _FULLTEXT,
         select="SELECT query_id, kb_id, chunk_id, round(score, 6) AS score FROM fulltext_top",
     ),
 )
 def fulltext_candidates(spark, sf_dir):
-    index = K.build_keyword_index(store(child_chunks(spark, sf_dir), "chunks"))
-    found = K.fulltext_candidates(store(questions(spark, sf_dir), "questions"), index)
+    index = K.build_keyword_index(store(whole_documents(spark, sf_dir), "chunks"), words=False)
+    found = K.fulltext_candidates(store(phrase_questions(spark, sf_dir), "questions"), index)
     return found.select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -84,12 +105,13 @@ like_top AS (
     ),
 )
 def like_candidates(spark, sf_dir):
-    index = K.build_keyword_index(store(child_chunks(spark, sf_dir), "chunks"))
+    index = K.build_keyword_index(store(child_chunks(spark, sf_dir), "chunks"), tokens=False)
     found = K.like_candidates(store(questions(spark, sf_dir), "questions"), index)
     return found.select("query_id", "kb_id", "chunk_id", "score")
 
 
 _SHORT_TERMS = LIKE_TERMS.replace("FROM benchmark", "FROM asked_items")
+_ASKED_PHRASES = "asked_items AS (SELECT item_id FROM asks)"
 _ASKED = "asked_items AS (SELECT item_id, text FROM benchmark)"
 _SWITCH = """asked AS (SELECT CAST(item_id AS VARCHAR) || '@' || k.kb_id AS query_id, item_id, k.kb_id
   FROM asked_items CROSS JOIN (SELECT DISTINCT kb_id FROM docs) k),
@@ -102,18 +124,18 @@ switched AS (
     "like_fallback_switch",
     "KW3",
     with_ctes(
-        DOCS, LINE_CHUNKS, _CHILDREN, _POSTINGS, _FULLTEXT, _ASKED, _SWITCH,
+        DOCS, LINE_CHUNKS, _WHOLE, _POSTINGS, _PHRASES, _FULLTEXT, _ASKED_PHRASES, _SWITCH,
         select="SELECT query_id FROM switched WHERE n = 0 OR n < 5",
     ),
 )
 def like_fallback_switch(spark, sf_dir):
-    asked = store(questions(spark, sf_dir), "questions")
-    index = K.build_keyword_index(store(child_chunks(spark, sf_dir), "chunks"))
+    asked = store(phrase_questions(spark, sf_dir), "questions")
+    index = K.build_keyword_index(store(whole_documents(spark, sf_dir), "chunks"), words=False)
     return K.needs_like_search(asked, K.fulltext_candidates(asked, index)).select("query_id")
 
 
 _SEARCH = with_ctes(
-    DOCS, LINE_CHUNKS, _CHILDREN, _POSTINGS, _FULLTEXT, _ASKED, _SWITCH, _SHORT_TERMS, _like(25),
+    DOCS, LINE_CHUNKS, _CHILDREN, _POSTINGS, _ASKS, _FULLTEXT, _ASKED, _SWITCH, _SHORT_TERMS, _like(25),
     f"""groups AS (
   SELECT query_id, kb_id, chunk_id, score FROM fulltext_top
   UNION ALL SELECT l.query_id, l.kb_id, l.chunk_id, l.score FROM like_top l JOIN switched s USING (query_id) WHERE s.n < 5),

@@ -30,6 +30,10 @@ def raw_tokens(value) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_col(value), F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def has_token(value) -> Column:
+    return F.lower(F.coalesce(_col(value), F.lit(""))).rlike(TOKEN)
+
+
 def cjk_ngrams(run: Column) -> Column:
     """Bigrams, then trigrams, at most 24 together."""
     size = F.length(run)

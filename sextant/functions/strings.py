@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"  # with (?U): every Unicode blank
+#: The same characters, for trimming: only a text's ends are looked at then.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 BLANKS = r"[ \t\r\f\x0B]+"  # horizontal blanks only
 CJK = r"\x{4e00}-\x{9fff}"
 
@@ -20,11 +22,11 @@ def _col(value) -> Column:
 
 def strip(value) -> Column:
     """Drop leading and trailing white space of any kind."""
-    return F.regexp_replace(_col(value), rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(_col(value), F.lit(SPACES))
 
 
 def rstrip(value) -> Column:
-    return F.regexp_replace(_col(value), rf"(?U){SPACE}+\z", "")
+    return F.rtrim(_col(value), F.lit(SPACES))
 
 
 def collapse(value) -> Column:

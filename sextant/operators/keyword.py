@@ -18,7 +18,7 @@ from sextant.functions import lexical as L
 from sextant.functions.metadata import matches_query_filter
 from sextant.functions.strings import CJK, SPACE
 from sextant.operators.ranking import top_per_group
-from sextant.session import store, store_bucketed
+from sextant.session import dealt, store, store_bucketed
 from sextant.settings import DEFAULTS, Settings
 
 SCOPE = ["tenant_id", "kb_id"]
@@ -35,17 +35,16 @@ class KeywordIndex:
     """Posting tables of searchable chunks.
 
     ``tokens`` (scope, token, chunk_id, tf) and ``words`` (scope, word, chunk_id) are hashed by
-    scope and key; ``token_counts`` and ``word_counts`` hold the chunks of each; ``grams`` (gram,
-    word) finds words by their pieces of one to three characters.
+    scope and key; ``token_counts`` and ``word_counts`` hold the chunks of each. Full-text
+    search reads the tokens, substring search the words.
     """
 
     chunks: DataFrame
-    tokens: DataFrame
-    token_counts: DataFrame
-    words: DataFrame
-    word_counts: DataFrame
-    grams: DataFrame
-    n_chunks: int
+    tokens: DataFrame | None = None
+    token_counts: DataFrame | None = None
+    n_chunks: int = 0
+    words: DataFrame | None = None
+    word_counts: DataFrame | None = None
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
@@ -94,21 +93,24 @@ def word_grams(words: DataFrame) -> DataFrame:
     return words.select("word", F.explode(F.array_distinct(F.flatten(spots))).alias("gram"))
 
 
-def build_keyword_index(chunks: DataFrame) -> KeywordIndex:
-    """Write the posting tables of ``chunks`` (scope, chunk_id, text, file_name, metadata)."""
-    tokens = store_bucketed(build_postings(chunks), "tokens", [*SCOPE, "token"])
-    pieces = chunks.select(*CHUNK, F.explode(word_pieces(F.col("text"))).alias("word"))
-    words = store_bucketed(pieces, "words", [*SCOPE, "word"])
-    word_counts = store(words.groupBy(*SCOPE, "word").agg(F.count("*").alias("chunks")), "word-counts")
-    return KeywordIndex(
-        chunks=chunks,
-        tokens=tokens,
-        token_counts=store(tokens.groupBy(*SCOPE, "token").agg(F.count("*").alias("chunks")), "token-counts"),
-        words=words,
-        word_counts=word_counts,
-        grams=store_bucketed(word_grams(word_counts.select("word").distinct()), "grams", ["gram"]),
-        n_chunks=chunks.filter(F.size(L.raw_tokens("text")) > 0).select(*CHUNK).distinct().count(),
-    )
+def build_keyword_index(chunks: DataFrame, tokens: bool = True, words: bool = True) -> KeywordIndex:
+    """Write the posting tables of ``chunks`` (scope, chunk_id, text, file_name, metadata).
+
+    Rows are shuffled once, to the bucket that they stay in; repeats in a chunk are counted there.
+    """
+    made = {}
+    if tokens:
+        each = dealt(chunks.select(*CHUNK, F.explode(L.index_tokens("text")).alias("token")), [*SCOPE, "token"])
+        kept = store_bucketed(each.groupBy(*CHUNK, "token").agg(F.count("*").alias("tf")), "tokens", [*SCOPE, "token"])
+        counts = store(kept.groupBy(*SCOPE, "token").agg(F.count("*").alias("chunks")), "token-counts")
+        n_chunks = chunks.filter(L.has_token("text")).select(*CHUNK).distinct().count()
+        made |= {"tokens": kept, "token_counts": counts, "n_chunks": n_chunks}
+    if words:
+        each = dealt(chunks.select(*CHUNK, F.explode(word_pieces(F.col("text"))).alias("word")), [*SCOPE, "word"])
+        kept = store_bucketed(each, "words", [*SCOPE, "word"])
+        counts = store(kept.groupBy(*SCOPE, "word").agg(F.count("*").alias("chunks")), "word-counts")
+        made |= {"words": kept, "word_counts": counts}
+    return KeywordIndex(chunks, **made)
 
 
 def metadata_text(file_name="file_name", metadata="metadata") -> Column:
@@ -116,17 +118,18 @@ def metadata_text(file_name="file_name", metadata="metadata") -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def term_words(terms: DataFrame, grams: DataFrame) -> DataFrame:
+def term_words(terms: DataFrame, words: DataFrame) -> DataFrame:
     """(term, word) for the words that hold the anchor of a term, met over its first characters."""
     anchors = terms.select("term").distinct().withColumn("anchor", term_anchor(F.col("term")))
     keyed = anchors.withColumn("gram", F.substring("anchor", 1, 3))
-    return keyed.join(grams, "gram").filter(F.contains("word", "anchor")).select("term", "word")
+    grams = word_grams(words.select("word").distinct())
+    return grams.join(keyed, "gram").filter(F.contains("word", "anchor")).select("term", "word")
 
 
 def contains_matches(texts: DataFrame, id_cols: list[str], text: str, terms: DataFrame) -> DataFrame:
     """(ids, term) for every term that occurs in the lower-cased text, for small sets of texts."""
     words = texts.select(*id_cols, F.explode(word_pieces(F.col(text))).alias("word"))
-    found = term_words(terms, word_grams(words.select("word").distinct()))
+    found = term_words(terms, words)
     return (
         words.join(found, "word")
         .select(*id_cols, "term")
@@ -267,32 +270,27 @@ def _named_chunks(names: DataFrame, asked: DataFrame, queries: DataFrame, index:
     return top_per_group(rows.join(first, group).join(asked, ["query_id", *SCOPE]), ["query_id", *SCOPE], best, F.col("wanted"), bound=bound)
 
 
-def _term_order(terms: DataFrame, index: KeywordIndex) -> DataFrame:
+def _term_order(terms: DataFrame, matched: DataFrame, index: KeywordIndex) -> DataFrame:
     """Terms with their chunks at most (``size``), those before them (``before``) and the weight from them on (``rest``).
 
-    Rare terms come first. The size of a term of one or two characters is not looked up; such
-    terms come last.
+    Rare terms come first; terms that a scope does not hold are left out.
     """
-    long = term_words(terms.filter(F.length(term_anchor(F.col("term"))) >= 3), index.grams)
+    asked = terms.select(*SCOPE, "term").distinct()
     sizes = (
-        index.word_counts.join(long, "word").groupBy(*SCOPE, "term").agg(F.sum("chunks").alias("size"))
+        index.word_counts.join(matched, "word").join(asked, [*SCOPE, "term"]).groupBy(*SCOPE, "term").agg(F.sum("chunks").alias("size"))
     )
-    short = F.length(term_anchor(F.col("term"))) < 3
-    size = F.when(short, F.lit(float("inf"))).otherwise(F.coalesce(F.col("size").cast("double"), F.lit(0.0)))
     order = W.partitionBy("query_id", *SCOPE).orderBy("size", "term")
     return (
-        terms.join(sizes, [*SCOPE, "term"], "left")
-        .withColumn("size", size)
-        .filter("size > 0")
-        .withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+        terms.join(sizes, [*SCOPE, "term"])
+        .withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("rest", F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
     )
 
 
-def _postings_of(terms: DataFrame, index: KeywordIndex) -> DataFrame:
-    """(scope, term, chunk_id) of the chunks that may hold a term of ``terms`` (scope, term)."""
-    wanted = term_words(terms, index.grams).join(terms, "term")
-    return index.words.join(wanted, [*SCOPE, "word"]).select(*SCOPE, "term", "chunk_id").distinct()
+def _postings_of(terms: DataFrame, matched: DataFrame, index: KeywordIndex) -> DataFrame:
+    """The rows of ``terms`` (scope, term, ...), once for each chunk that may hold the term."""
+    wanted = terms.join(matched, "term")
+    return index.words.join(wanted, [*SCOPE, "word"]).select(*terms.columns, "chunk_id").distinct()
 
 
 def _like_scores(pairs: DataFrame, terms: DataFrame, names: DataFrame, index: KeywordIndex, queries: DataFrame) -> DataFrame:
@@ -327,11 +325,14 @@ def like_candidates(
     terms = store(_like_terms(queries, settings), "like-terms")
     named = index.chunks.select(*CHUNK, metadata_text().alias("names"))
     names = store(_name_scores(terms, named), "name-scores")
-    ordered = store(_term_order(terms, index), "term-order")
+    matched = store(term_words(terms, index.word_counts), "term-words")
+    ordered = store(_term_order(terms, matched, index), "term-order")
     by_name = _named_chunks(names, terms.select(*query, "wanted").distinct(), queries, index, bound)
     # the floor: the first chunks of the rarest terms
     seeds = ordered.filter(F.col("before") < _SEED * F.col("wanted"))
-    lead = top_per_group(_postings_of(seeds.select(*SCOPE, "term").distinct(), index), [*SCOPE, "term"], [F.col("chunk_id")], _SEED * bound)
+    leads = seeds.groupBy(*SCOPE, "term").agg((F.max("wanted") * _SEED).alias("lead"))
+    lead = _postings_of(leads, matched, index)
+    lead = top_per_group(lead, [*SCOPE, "term"], [F.col("chunk_id")], F.col("lead"), bound=_SEED * bound)
     seeded = seeds.join(lead, [*SCOPE, "term"]).select(*query, "chunk_id")
     start = store(seeded.unionByName(by_name.select(*query, "chunk_id")).distinct(), "like-seeds")
     scored = store(_like_scores(start, terms, names, index, queries), "like-scores")
@@ -341,15 +342,18 @@ def like_candidates(
         .select(*query, F.col("score").alias("floor"), F.col("chunk_id").alias("floor_id"))
     )
     most = names.groupBy(*query).agg(F.max("points").alias("most"))
+    # terms that the seeds have read whole are done
     limits = (
-        ordered.join(floors, query, "left")
+        ordered.join(leads, [*SCOPE, "term"], "left")
+        .filter(F.col("lead").isNull() | (F.col("before") >= _SEED * F.col("wanted")) | (F.col("size") > F.col("lead")))
+        .join(floors, query, "left")
         .join(most, query, "left")
         .withColumn("reach", F.col("rest") + F.coalesce("most", F.lit(0)))
         .filter(F.col("floor").isNull() | (F.col("reach") >= F.col("floor")))
         .select(*query, "term", F.when(F.col("reach") == F.col("floor"), F.col("floor_id")).alias("before_id"))
     )
     limits = store(limits, "like-limits")
-    opened = _postings_of(limits.select(*SCOPE, "term").distinct(), index)
+    opened = _postings_of(limits.select(*SCOPE, "term").distinct(), matched, index)
     more = limits.join(opened, [*SCOPE, "term"]).filter(F.col("before_id").isNull() | (F.col("chunk_id") < F.col("before_id")))
     rest = more.select(*query, "chunk_id").distinct().join(start, [*query, "chunk_id"], "left_anti")
     found = scored.unionByName(_like_scores(rest, terms, names, index, queries))

@@ -54,8 +54,13 @@ def store(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def store_bucketed(rows: DataFrame, purpose: str, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Store rows hashed by ``keys`` and sorted in each bucket: joins on the keys read them without a shuffle.
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows hashed by ``keys`` to as many partitions as ``store_bucketed`` writes buckets."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def store_bucketed(rows: DataFrame, purpose: str, keys: list[str]) -> DataFrame:
+    """Store rows that were ``dealt`` by ``keys``, sorted in each bucket: joins on the keys read them without a shuffle.
 
     The session lists the table under a fresh name; its files are in the shared folder. Join
     such tables one by one: a union of them does not keep their hashing.
@@ -64,9 +69,8 @@ def store_bucketed(rows: DataFrame, purpose: str, keys: list[str], order: list[s
     name = f"{purpose.replace('-', '_')}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        rows.repartition(buckets, *keys)
-        .write.bucketBy(buckets, *keys)
-        .sortBy(*(order or keys))
+        rows.write.bucketBy(buckets, *keys)
+        .sortBy(*keys)
         .option("path", shared_dir(spark, purpose))
         .saveAsTable(name)
     )
