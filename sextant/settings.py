@@ -67,6 +67,9 @@ class Settings:
     vector_metric: str = "L2"
     vector_block_rows: int = 20000
     query_block_rows: int = 1024
+    # "exact" compares all vectors of a scope, "cells" those of the closest cells
+    vector_search: str = "exact"
+    rescore_factor: int = 4
 
     # the largest windows that a request of the largest top_k can ask for
 
