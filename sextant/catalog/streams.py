@@ -125,11 +125,12 @@ def ingest_job_states(spark, sf_dir):
 
 
 def message_texts(spark, sf_dir):
-    """Documents as ingest messages; each tenth lacks its base, each eleventh its content."""
+    """Documents as ingest messages; each tenth lacks its base, each eleventh its content, each seventh names a file instead."""
     doc = F.col("doc_id").cast("long")
     fields = F.struct(
         F.col("tenant_id").alias("tenantId"), F.when(doc % 10 != 7, F.col("kb_id")).alias("kbId"), F.col("doc_id").alias("docId"),
-        F.col("file_name").alias("fileName"), F.col("source_uri").alias("sourceUri"), F.when(doc % 11 != 5, F.col("text")).alias("content"),
+        F.col("file_name").alias("fileName"), F.col("source_uri").alias("sourceUri"), F.when((doc % 11 != 5) & (doc % 7 != 3), F.col("text")).alias("content"),
+        F.when(doc % 7 == 3, F.concat(F.lit("in/"), "doc_id", F.lit(".txt"))).alias("filePath"),
         F.lit("k-1").alias("embeddingApiKey"),
     )
     return documents(spark, sf_dir).select(F.to_json(fields).alias("value"))
@@ -137,7 +138,7 @@ def message_texts(spark, sf_dir):
 
 @query(
     "parse_ingest_messages", "STR1 SNK5",
-    """SELECT CASE WHEN doc_id % 10 = 7 THEN 'kbId is required' WHEN doc_id % 11 = 5 THEN 'filePath or content is required.' ELSE 'valid' END AS outcome,
+    """SELECT CASE WHEN doc_id % 10 = 7 THEN 'kbId is required' WHEN doc_id % 11 = 5 AND doc_id % 7 <> 3 THEN 'filePath or content is required.' ELSE 'valid' END AS outcome,
       count(*) AS n FROM documents GROUP BY 1""",
 )
 def parse_ingest_messages(spark, sf_dir):
@@ -148,9 +149,10 @@ def parse_ingest_messages(spark, sf_dir):
 
 @query(
     "ingest_stream", "STR1 STR5 STR6 SNK1 SNK2 SNK3 SNK5",
-    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id % 13 <> 2 AND doc_id % 10 <> 7 AND doc_id % 11 <> 5 AS stored,
-      doc_id % 13 <> 2 AND doc_id % 10 <> 7 AND doc_id % 11 <> 5 AS has_vectors,
-      doc_id % 10 = 7 OR doc_id % 11 = 5 AS dead FROM documents""",
+    """WITH m AS (
+      SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN doc_id % 35 <> 3 ELSE doc_id % 11 <> 5 END AS has_text FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id % 13 <> 2 AND doc_id % 10 <> 7 AND has_text AS stored,
+      doc_id % 13 <> 2 AND doc_id % 10 <> 7 AND has_text AS has_vectors, doc_id % 10 = 7 OR NOT has_text AS dead FROM m""",
 )
 def ingest_stream(spark, sf_dir):
     tables = I.IngestTables(shared_dir(spark, "ingest"))
@@ -158,10 +160,15 @@ def ingest_stream(spark, sf_dir):
     message_texts(spark, sf_dir).write.parquet(queue)
     docs = documents(spark, sf_dir)
     docs.filter(F.col("doc_id").cast("long") % 13 == 2).select(*I.DOC).write.parquet(f"{tables.root}/tombstones")
+    # the named files, each whole; one in five is not there
+    inbox, number = shared_dir(spark, "inbox"), F.col("doc_id").cast("long")
+    docs.filter((number % 7 == 3) & (number % 35 != 3)).select("doc_id", "text").write.partitionBy("doc_id").text(inbox)
+    files = spark.read.schema("value string, doc_id string").option("wholetext", True).text(inbox)
+    files = files.select(F.concat(F.lit("in/"), "doc_id", F.lit(".txt")).alias("path"), F.col("value").alias("text"))
     messages = spark.readStream.schema("value string").parquet(queue)
-    I.start_ingest(messages, tables, shared_dir(spark, "ingest-marks")).awaitTermination()
-    stored = tables.chunks.read(spark).select("doc_id").distinct().withColumn("__c", F.lit(1))
-    vectors = tables.vectors.read(spark).select("doc_id").distinct().withColumn("__v", F.lit(1))
+    I.start_ingest(messages, tables, shared_dir(spark, "ingest-marks"), files=files).awaitTermination()
+    stored = tables.chunks(spark).select("doc_id").distinct().withColumn("__c", F.lit(1))
+    vectors = tables.vectors(spark).select("doc_id").distinct().withColumn("__v", F.lit(1))
     dead = tables.dead_letters(spark).select(F.get_json_object("value", "$.docId").alias("doc_id"), F.lit(1).alias("__d")).distinct()
     return (
         docs.select("doc_id").join(stored, "doc_id", "left").join(vectors, "doc_id", "left").join(dead, "doc_id", "left")

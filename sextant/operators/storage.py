@@ -1,9 +1,4 @@
-"""Chunk and vector tables as append-only logs with atomic, replayable batches.
-
-A batch writes its rows first and then the documents it replaces or deletes. Readers take
-the rows of each document's newest batch, so a half-written batch is never seen, a replay
-overwrites its own folders, and no stored row is rewritten.
-"""
+"""Chunk and vector tables: replacing, deleting and listing the rows of documents."""
 
 from __future__ import annotations
 
@@ -14,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sextant.operators.ranking import best_per_key, top_per_group
+from sextant.session import store
 
 DOC = ["tenant_id", "kb_id", "doc_id"]
 
@@ -67,47 +63,57 @@ def list_chunks_per_scope(chunks: DataFrame, limit: int, condition=None) -> Data
     return top_per_group(rows, ["tenant_id", "kb_id"], [F.col("chunk_id")], limit)
 
 
-_VERSIONS = T.StructType(
-    [T.StructField(c, T.StringType()) for c in DOC]
-    + [T.StructField("batch_id", T.LongType())]
-)
+#: Buckets of the documents of a scope; fixed for the life of a table.
+BUCKETS = 16
 
 
 @dataclass(frozen=True)
-class DocumentLog:
-    """A table of document rows under ``path``, written batch by batch."""
+class DocumentTable:
+    """Rows of documents under ``path``, partitioned by scope and a bucket of the document.
+
+    A change reads the partitions of its documents only, and Spark's dynamic partition overwrite
+    puts new ones in their place; the others are not touched. The same change again gives the
+    same table. Each partition keeps a row without a document, so that one that loses all its
+    documents is overwritten too.
+    """
 
     path: str
     schema: T.StructType
+    buckets: int = BUCKETS
 
-    def _part(self, kind: str, batch_id: int) -> str:
-        return f"{self.path}/{kind}/batch_id={batch_id}"
+    @property
+    def _stored(self) -> T.StructType:
+        # partition columns come last, as they are read
+        rest = [f for f in self.schema.fields if f.name not in DOC[:2]]
+        scope = [T.StructField(c, T.StringType()) for c in DOC[:2]]
+        return T.StructType([*rest, *scope, T.StructField("bucket", T.IntegerType())])
 
-    def write_batch(self, batch_id: int, rows: DataFrame, documents: DataFrame) -> None:
-        """Write a batch: its rows, then (as the commit) the documents it stands for."""
-        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._part("rows", batch_id))
-        documents.select(*DOC).distinct().write.mode("overwrite").parquet(self._part("versions", batch_id))
-
-    def delete(self, documents: DataFrame) -> None:
-        """Drop documents for good. Deletions are appended apart from the batches and share no numbers with them."""
-        documents.select(*DOC).distinct().write.mode("append").parquet(f"{self.path}/deletions")
-
-    def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """The rows that one batch wrote; no other folder is read."""
-        return _read(spark, self._part("rows", batch_id), self.schema)
-
-    def versions(self, spark: SparkSession) -> DataFrame:
-        """Newest batch of each document."""
-        log = _read(spark, f"{self.path}/versions", _VERSIONS)
-        return best_per_key(log, DOC, [-F.col("batch_id")])
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int"))
 
     def read(self, spark: SparkSession) -> DataFrame:
-        """Current rows: those of each document's newest batch, without deleted documents."""
-        fields = [*self.schema.fields, T.StructField("batch_id", T.LongType())]
-        rows = _read(spark, f"{self.path}/rows", T.StructType(fields))
-        gone = _read(spark, f"{self.path}/deletions", T.StructType(_VERSIONS.fields[: len(DOC)]))
-        current = self.versions(spark).join(gone, DOC, "left_anti")
-        return rows.join(current, [*DOC, "batch_id"]).select(*self.schema.fieldNames())
+        rows = _read(spark, self.path, self._stored).filter(F.col("doc_id").isNotNull())
+        return rows.select(*self.schema.fieldNames())
+
+    def replace(self, documents: DataFrame, rows: DataFrame) -> None:
+        """Put ``rows`` in the place of all rows of ``documents`` (scope, doc_id)."""
+        spark, part = rows.sparkSession, [*DOC[:2], "bucket"]
+        touched = store(self._placed(documents.select(*DOC).distinct()), "touched-documents")
+        parts = touched.select(*part).distinct()
+        # at most as many numbers as there are buckets; the scope prunes by the join
+        numbers = [r["bucket"] for r in parts.select("bucket").distinct().collect()]
+        before = _read(spark, self.path, self._stored).filter(F.col("bucket").isin(numbers) & F.col("doc_id").isNotNull())
+        kept = before.join(parts, part, "left_semi").join(touched.select(*DOC), DOC, "left_anti")
+        names = self._stored.fieldNames()
+        marks = parts.select(*[F.col(f.name) if f.name in part else F.lit(None).cast(f.dataType).alias(f.name) for f in self._stored.fields])
+        merged = kept.select(*names).unionByName(self._placed(rows).select(*names)).unionByName(marks)
+        # written aside first: a table is not overwritten while it is read
+        merged = store(merged, "merged-documents")
+        out = merged.repartition(*part, F.pmod(F.xxhash64("doc_id"), F.lit(64 * self.buckets)))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(self.path)
+
+    def delete(self, documents: DataFrame) -> None:
+        self.replace(documents, documents.sparkSession.createDataFrame([], self.schema))
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

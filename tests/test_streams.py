@@ -2,7 +2,10 @@ import json
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sextant.operators import storage as S
+from sextant.operators.chunking import chunk_rows
 from sextant.operators import windows as W
 from sextant.operators import vector_search as N
 from sextant.settings import Settings
@@ -66,26 +69,26 @@ def test_ingest_stream_is_idempotent_and_keeps_deletions(spark, tmp_path):
         "\n".join([_message(docId="a", content=body), _message(docId="b", content=body), "broken", json.dumps({"tenantId": "t"})])
     )
     run()
-    first = tables.chunks.read(spark)
+    first = tables.chunks(spark)
     assert {r["doc_id"] for r in first.collect()} == {"a", "b"}
     assert tables.dead_letters(spark).count() == 2
     children = first.filter("chunk_type = 'child'")
-    assert tables.vectors.read(spark).count() == children.count() > 2
+    assert tables.vectors(spark).count() == children.count() > 2
     # the same job again is skipped; a job with its own id replaces the document
     (queue / "2.txt").write_text("\n".join([_message(docId="a", content="ignored"), _message(docId="b", jobId="j2", content="short text")]))
     run()
-    texts = {r["doc_id"]: r["text"] for r in tables.chunks.read(spark).filter("chunk_type = 'parent'").collect()}
+    texts = {r["doc_id"]: r["text"] for r in tables.chunks(spark).filter("chunk_type = 'parent'").collect()}
     assert texts["a"] == body.strip() and texts["b"] == "short text"
     # a replay of a batch changes nothing
-    before = sorted(map(str, tables.chunks.read(spark).collect()))
+    before = sorted(map(str, tables.chunks(spark).collect()))
     tables.ingest(spark.read.text(str(queue / "2.txt")), 1)
-    assert sorted(map(str, tables.chunks.read(spark).collect())) == before
+    assert sorted(map(str, tables.chunks(spark).collect())) == before
     # deleted documents stay away
     tables.delete(spark.createDataFrame([("t", "k", "a")], "tenant_id string, kb_id string, doc_id string"))
     (queue / "3.txt").write_text(_message(docId="a", jobId="j3", content="back again"))
     run()
-    assert {r["doc_id"] for r in tables.chunks.read(spark).collect()} == {"b"}
-    assert {r["doc_id"] for r in tables.vectors.read(spark).collect()} == {"b"}
+    assert {r["doc_id"] for r in tables.chunks(spark).collect()} == {"b"}
+    assert {r["doc_id"] for r in tables.vectors(spark).collect()} == {"b"}
     assert "[configured]" not in str(tables.jobs(spark).first()["payload"])
 
 
@@ -109,8 +112,65 @@ def test_a_deletion_takes_no_other_document_and_the_later_message_wins(spark, tm
     raw = spark.createDataFrame([(m, k) for k, m in enumerate(messages)], "value string, seq long")
     tables.ingest(raw, 0)
     tables.delete(spark.createDataFrame([("t", "k", "unknown")], scope))
-    texts = {r["doc_id"]: r["text"] for r in tables.chunks.read(spark).filter("chunk_type = 'child'").collect()}
+    texts = {r["doc_id"]: r["text"] for r in tables.chunks(spark).filter("chunk_type = 'child'").collect()}
     assert texts == {"a": "new text", "c": "other"}
     tables.delete(spark.createDataFrame([("t", "k", "a")], scope))
     tables.ingest(spark.createDataFrame([(_message(docId="a", jobId="n", content="again"), 0)], "value string, seq long"), 1)
-    assert {r["doc_id"] for r in tables.chunks.read(spark).collect()} == {"c"}
+    assert {r["doc_id"] for r in tables.chunks(spark).collect()} == {"c"}
+
+
+def test_a_change_rewrites_its_own_partitions_only(spark, tmp_path):
+    table = S.DocumentTable(str(tmp_path / "t"), T.StructType.fromDDL("tenant_id string, kb_id string, doc_id string, text string"), buckets=4)
+
+    def rows(found):
+        return spark.createDataFrame(found, table.schema)
+
+    first = rows([("t", f"k{i % 2}", f"d{i}", f"text {i}") for i in range(20)] + [("u", "k0", "d1", "other tenant")])
+    table.replace(first, first)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    table.replace(rows([("t", "k0", "d2", None), ("t", "k0", "new", None)]), rows([("t", "k0", "new", "came")]))
+    now = {r["doc_id"]: r["text"] for r in table.read(spark).filter("tenant_id = 't'").collect()}
+    assert now == {f"d{i}": f"text {i}" for i in range(20) if i != 2} | {"new": "came"}
+    kept = {p for p, at in files.items() if p.exists() and p.stat().st_mtime_ns == at}
+    assert all("tenant_id=u" in str(p) or "kb_id=k1" in str(p) or p in kept for p in kept) and len(kept) >= len(files) // 2
+    # a partition that loses its last document is overwritten too, and again
+    for _ in range(2):
+        table.delete(rows([("u", "k0", "d1", None), ("u", "k9", "unknown", None)]))
+        assert table.read(spark).filter("tenant_id = 'u'").count() == 0
+    plan = table.read(spark).filter("tenant_id = 't' AND kb_id = 'k1'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tenant_id" in plan
+
+
+def test_messages_that_name_a_file(spark, tmp_path):
+    tables = I.IngestTables(str(tmp_path / "tables"), buckets=2)
+    files = spark.createDataFrame([("/in/a.txt", "text of the file"), ("/in/b.txt", "another one")], "path string, text string")
+    messages = [_message(docId="a", filePath="/in/a.txt"), _message(docId="b", filePath="/in/b.txt", content="its own text"),
+                _message(docId="c", filePath="/in/missing.txt"), _message(docId="d")]
+    raw = spark.createDataFrame([(m, k) for k, m in enumerate(messages)], "value string, seq long")
+    for _ in range(2):
+        tables.ingest(raw, 0, files=files)
+        texts = {r["doc_id"]: r["text"] for r in tables.chunks(spark).filter("chunk_type = 'child'").collect()}
+        assert texts == {"a": "text of the file", "b": "its own text"}
+        assert sorted(r["reason"] for r in tables.dead_letters(spark).collect()) == ["file not found: /in/missing.txt", "filePath or content is required."]
+        assert sorted(r["doc_id"] for r in tables.jobs(spark).collect()) == ["a", "b"]
+    # the file may come later: its job is still open
+    more = files.unionByName(spark.createDataFrame([("/in/missing.txt", "there now")], "path string, text string"))
+    tables.ingest(raw, 1, files=more)
+    assert {r["doc_id"] for r in tables.chunks(spark).collect()} == {"a", "b", "c"}
+
+
+def test_ingested_rows_equal_the_chunks_of_the_documents(spark, tmp_path):
+    """Ids, texts and vectors of an ingest over several batches, against one pass over the last texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        F.lit("t").alias("tenant_id"), F.col("lang").alias("kb_id"), F.col("doc_id").cast("string").alias("doc_id"), "text",
+        F.lit(None).cast("string").alias("file_name"), F.lit("u").alias("source_uri"), F.create_map(F.lit("source"), F.lit("u")).alias("metadata"),
+    )
+    tables = I.IngestTables(str(tmp_path / "tables"))
+    fields = [F.col(a).alias(b) for a, b in (("tenant_id", "tenantId"), ("kb_id", "kbId"), ("doc_id", "docId"), ("source_uri", "sourceUri"))]
+    for batch, text in enumerate((F.lit("an older text"), F.col("text"))):
+        message = F.to_json(F.struct(*fields, text.alias("content"), F.concat("doc_id", F.lit(f"-{batch}")).alias("jobId")))
+        tables.ingest(docs.select(message.alias("value"), F.col("doc_id").cast("long").alias("seq")), batch)
+    want = chunk_rows(docs).select("doc_id", "chunk_id", "text").collect()
+    got = tables.indexed.read(spark)
+    assert sorted(map(tuple, got.select("doc_id", "chunk_id", "text").collect())) == sorted(map(tuple, want))
+    assert got.filter("chunk_type = 'child' AND vector IS NULL AND text RLIKE '[a-z]'").count() == 0
