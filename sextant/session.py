@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that the last ``stage_scratch`` has stored, and whether one is open.
+_scratch: list[str] = []
+_recording: list[bool] = [False]
+
+
 def store(rows: DataFrame, purpose: str) -> DataFrame:
     """Write rows to a table in the shared folder and read them back.
 
@@ -51,9 +58,27 @@ def store(rows: DataFrame, purpose: str) -> DataFrame:
     """
     path = shared_dir(rows.sparkSession, purpose)
     rows.write.parquet(path)
+    if _recording[0]:
+        _scratch.append(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+@contextmanager
+def stage_scratch(spark: SparkSession) -> Iterator[None]:
+    """One stage of a chain whose results are written before the next one begins.
+
+    So what earlier stages have stored inside of it is read no more, and is deleted first.
+    """
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _recording[0] = True
+    try:
+        yield
+    finally:
+        _recording[0] = False
+
+
 def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows hashed by ``keys`` to as many partitions as ``store_bucketed`` writes buckets."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
