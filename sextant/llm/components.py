@@ -36,6 +36,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
     return pairs.select(F.col("high").alias("node"), F.col("low").alias("component")).union(
         pairs.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
     )

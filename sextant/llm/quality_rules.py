@@ -160,7 +160,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     split = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(3)) == 0
     chosen = met.select((F.col("quality") == 0).alias("bad"), split.alias("prune"), statistics(F.col("text")).alias("s"))
     # filtered once it is written, as the filter would else move to all documents
-    known = store(chosen.coalesce(4), "quality-sample").filter("NOT s.base_failed")
+    known = store(chosen, "quality-sample").filter("NOT s.base_failed")
     return known.select("bad", "prune", "s.features").coalesce(1)
 
 

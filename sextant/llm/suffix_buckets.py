@@ -4,6 +4,8 @@ A place in a text belongs to a bucket: the identifier of the bytes that start th
 identifier for twice the depth is made from those at the place and one depth later, so
 each step reuses the ones before. Buckets are refined only while they hold several places.
 
+The strings have ``DEPTH`` bytes unless another depth is given.
+
 1. *Initial buckets.* Of the 369 32-byte grams inside a 400-byte string, the one with the
    least identifier (the leftmost of equals) is its anchor: equal strings have equal
    anchors at equal places. Neighbouring strings share an anchor and form a run, about one
@@ -42,7 +44,6 @@ from sextant.session import store
 
 DEPTH = 400
 GRAM = 32
-SPAN = DEPTH - GRAM + 1  # grams in a string
 STEPS = (64, 16, 4, 1)  # strings in a group, level by level
 #: Bytes worked on at a time; places must fit into PLACE_BITS. A longer text is cut into
 #: pieces that overlap by one byte less than a string.
@@ -78,7 +79,7 @@ def sliding_least(values: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[window - 1 : window - 1 + n])
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """``(data, rows, begins, firsts)``: texts as bytes laid end to end, up to ``CHUNK`` long.
 
     A piece of row ``rows[k]`` begins at ``begins[k]`` and, within its text, at ``firsts[k]``.
@@ -87,7 +88,7 @@ def pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
     for row, text in enumerate(column):
         data = (text.as_py() or "").encode("utf-8", "surrogatepass")
         first = 0
-        while len(data) - first >= DEPTH:
+        while len(data) - first >= depth:
             part = data[first : first + CHUNK]
             if size and size + len(part) > CHUNK:
                 yield np.frombuffer(b"".join(parts), np.uint8), np.array(rows), np.array(begins), np.array(firsts)
@@ -97,21 +98,21 @@ def pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
             begins.append(size)
             firsts.append(first)
             size += len(part)
-            first += len(part) - DEPTH + 1
+            first += len(part) - depth + 1
     if parts:
         yield np.frombuffer(b"".join(parts), np.uint8), np.array(rows), np.array(begins), np.array(firsts)
 
 
-def find_runs(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def find_runs(data: np.ndarray, begins: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings with one anchor: first place, length, place of the anchor, its gram."""
     grams = identifiers(data, GRAM)
     low = np.uint64((1 << PLACE_BITS) - 1)
     ranked = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    anchor = (sliding_least(ranked, SPAN) & low).astype(np.int64)
+    anchor = (sliding_least(ranked, depth - GRAM + 1) & low).astype(np.int64)
     ends = np.r_[begins[1:], len(data)]
     inside = np.zeros(len(data) + 1, np.int8)
     inside[begins] += 1
-    inside[ends - DEPTH + 1] -= 1
+    inside[ends - depth + 1] -= 1
     inside = np.cumsum(inside[: len(anchor)]).astype(bool)
     fresh = inside.copy()
     fresh[1:] &= (anchor[1:] != anchor[:-1]) | ~inside[:-1]
@@ -135,15 +136,15 @@ def _key_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
-def runs(docs: DataFrame) -> DataFrame:
+def runs(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """All runs: ``first`` place, ``n`` strings, ``off`` from there to the anchor, bucket and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, rows, begins, firsts in pieces(batch.column("text")):
-                start, n, anchor, gram = find_runs(data, begins)
+            for data, rows, begins, firsts in pieces(batch.column("text"), depth):
+                start, n, anchor, gram = find_runs(data, begins, depth)
                 view = memoryview(data)
-                content = [xxhash.xxh3_64_intdigest(view[a : a + k + DEPTH - 1]) for a, k in zip(start.tolist(), n.tolist())]
+                content = [xxhash.xxh3_64_intdigest(view[a : a + k + depth - 1]) for a, k in zip(start.tolist(), n.tolist())]
                 piece = np.searchsorted(begins, start, "right") - 1
                 which = pa.array(rows[piece])
                 columns = {
@@ -173,7 +174,7 @@ def _group(core: bytes, before: bytes, after: bytes, near: int) -> tuple[bytes,
     return core, xxhash.xxh3_128_digest(core + around), before, after, near
 
 
-def groups_of_runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def groups_of_runs(docs: DataFrame, wanted: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Groups of the first level for the wanted runs: ``(d, h, runs: array<first, n, off>)``."""
     step = STEPS[0]
     schema = GROUP.format(_key_type(docs))
@@ -188,9 +189,9 @@ def groups_of_runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     for j in range((anchor - last) // step, (anchor - first) // step + 1):
                         low = anchor - step * j
                         a, b = max(first, low - step + 1), min(last, low)
-                        high = low - step + 1 + DEPTH
+                        high = low - step + 1 + depth
                         core = xxhash.xxh3_128_digest(data[low:high])
-                        group = _group(core, data[a:low], data[high : b + DEPTH], low - b)
+                        group = _group(core, data[a:low], data[high : b + depth], low - b)
                         out.append((*group, row["d"], row["h"], a, b))
                     if len(out) > 20_000:
                         yield _batch(out, schema)
@@ -242,9 +243,9 @@ def _join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(right, on, how).drop("_d", "_h")
 
 
-def repeated_starts(docs: DataFrame) -> DataFrame:
+def repeated_starts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``(d, h, first, stop)``: places, from first to before stop, where repeated strings start."""
-    every = store(runs(docs), "runs")
+    every = store(runs(docs, depth), "runs")
     classes = store(
         every.groupBy("gram", "content").agg(F.count("*").alias("copies"), F.min(F.struct("d", "h", "first", "n", "off")).alias("run")),
         "run-classes",
@@ -259,7 +260,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
         .groupBy("d", "h")
         .agg(F.collect_list(F.struct("first", "n", "off")).alias("runs"))
     )
-    groups = store(groups_of_runs(docs, wanted), "groups")
+    groups = store(groups_of_runs(docs, wanted, depth), "groups")
     for step, finer in zip(STEPS, (*STEPS[1:], 0)):
         alike = store(
             groups.groupBy("core", "whole").agg(
@@ -278,7 +279,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     return out
 
 
-def cut(text: str | None, ranges: list[dict] | None) -> tuple[bytes, int, int, int]:
+def cut(text: str | None, ranges: list[dict] | None, depth: int = DEPTH) -> tuple[bytes, int, int, int]:
     """Bytes left of a text, how many it had, how many went, and in how many runs."""
     data = (text or "").encode("utf-8", "surrogatepass")
     if not ranges:
@@ -286,7 +287,7 @@ def cut(text: str | None, ranges: list[dict] | None) -> tuple[bytes, int, int, i
     kept, at, removed, spans = [], 0, 0, 0
     end = -1
     for first, stop in sorted((r["first"], r["stop"]) for r in ranges):
-        stop += DEPTH - 1
+        stop += depth - 1
         if first > end:
             spans += 1
             kept.append(data[at:first])
@@ -296,9 +297,9 @@ def cut(text: str | None, ranges: list[dict] | None) -> tuple[bytes, int, int, i
     return b"".join(kept), len(data), removed, spans
 
 
-def _with_ranges(docs: DataFrame, columns: list[str]) -> DataFrame:
+def _with_ranges(docs: DataFrame, columns: list[str], depth: int = DEPTH) -> DataFrame:
     """``(row, ranges)``: the given columns as one struct, so that no names can clash."""
-    ranges = repeated_starts(docs).groupBy("d", "h").agg(F.collect_list(F.struct("first", "stop")).alias("ranges"))
+    ranges = repeated_starts(docs, depth).groupBy("d", "h").agg(F.collect_list(F.struct("first", "stop")).alias("ranges"))
     row = F.struct(*[docs[c] for c in columns]).alias("row")
     keyed = docs.select(row, F.col("doc_id").alias("d"), _text_hash().alias("h"))
     return _join(keyed, ranges, "left").select("row", "ranges")
@@ -324,8 +325,10 @@ def digest(docs: DataFrame) -> DataFrame:
     return _with_ranges(docs, ["doc_id", "text"]).mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The documents without their repeated strings; characters that were cut apart go too.
+def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The documents without their repeated strings of ``depth`` bytes; characters that were cut apart go too.
+
+    The depth must leave room for a gram in a group's core: at least ``STEPS[0] + GRAM`` bytes.
 
     All rows and other columns stay; a text that repeats as a whole becomes empty, a null
     text stays null.
@@ -339,8 +342,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             texts = []
             for text, ranges in zip(columns[at], batch.column("ranges")):
                 value = text.as_py()
-                texts.append(cut(value, ranges.as_py())[0].decode("utf-8", "ignore") if ranges.is_valid else value)
+                texts.append(cut(value, ranges.as_py(), depth)[0].decode("utf-8", "ignore") if ranges.is_valid else value)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _with_ranges(docs, names).mapInArrow(run, docs.schema)
+    return _with_ranges(docs, names, depth).mapInArrow(run, docs.schema)

@@ -79,19 +79,19 @@ def test_simhash_documents(spark):
     assert simhash.digest(docs.limit(0)).collect() == []
 
 
-def plain_repeats(texts):
+def plain_repeats(texts, depth=400):
     data = [(t or "").encode() for t in texts]
 
     def key(b, i):
-        return hashlib.blake2b(b[i : i + 400], digest_size=16).digest()
+        return hashlib.blake2b(b[i : i + depth], digest_size=16).digest()
 
-    times = Counter(key(b, i) for b in data for i in range(len(b) - 399))
+    times = Counter(key(b, i) for b in data for i in range(len(b) - depth + 1))
     out = []
     for b in data:
         mask = bytearray(len(b))
-        for i in range(len(b) - 399):
+        for i in range(len(b) - depth + 1):
             if times[key(b, i)] > 1:
-                mask[i : i + 400] = b"\1" * 400
+                mask[i : i + depth] = b"\1" * depth
         spans = sum(m and not p for m, p in zip(mask, b"\0" + bytes(mask)))
         left = bytes(x for x, m in zip(b, mask) if not m)
         out.append((len(b), sum(mask), spans, hashlib.sha256(left).hexdigest()))
