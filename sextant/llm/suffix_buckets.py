@@ -306,11 +306,14 @@ def _with_ranges(docs: DataFrame, columns: list[str], depth: int = DEPTH) -> Dat
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The result of the registered query: sizes and checksum of what is left of each text."""
+    """The result of the registered query: sizes, checksum and ``text``, what is left of each one.
+
+    Characters that were cut apart are in the checksum, but not in the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, spans, sums = [], [], [], []
+            n, gone, spans, sums, rest = [], [], [], [], []
             ids, texts = batch.column("row").flatten()
             for text, ranges in zip(texts, batch.column("ranges")):
                 left, size, removed, count = cut(text.as_py(), ranges.as_py())
@@ -318,10 +321,11 @@ def digest(docs: DataFrame) -> DataFrame:
                 gone.append(removed)
                 spans.append(count)
                 sums.append(hashlib.sha256(left).hexdigest())
-            columns = [ids, *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(sums, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rest.append(left.decode("utf-8", "ignore"))
+            columns = [ids, *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(sums, pa.string()), pa.array(rest, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    schema = f"doc_id {_key_type(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = f"doc_id {_key_type(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
     return _with_ranges(docs, ["doc_id", "text"]).mapInArrow(run, schema)
 
 

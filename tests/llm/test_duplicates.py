@@ -94,7 +94,7 @@ def plain_repeats(texts, depth=400):
                 mask[i : i + depth] = b"\1" * depth
         spans = sum(m and not p for m, p in zip(mask, b"\0" + bytes(mask)))
         left = bytes(x for x, m in zip(b, mask) if not m)
-        out.append((len(b), sum(mask), spans, hashlib.sha256(left).hexdigest()))
+        out.append((len(b), sum(mask), spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
     return out
 
 
