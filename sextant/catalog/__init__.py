@@ -14,6 +14,7 @@ MODULES = (
     "searches",
     "hits",
     "quality",
+    "files",
     "records",
     "stores",
     "streams",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     Files that are valid UTF-8 (a byte-order mark is dropped) are read as such, the
     others as GB18030. Files are read together where their header lines are equal, so that
     each keeps its own columns; a column that a file lacks is null. Encoding and header are
-    found on the executors; a row per file comes back. Reading GB18030 needs
+    found on the executors. Reading GB18030 needs
     ``spark.sql.legacy.javaCharsets``.
     """
     files = spark.read.format("binaryFile").load(path)
@@ -44,12 +44,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         F.expr("is_valid_utf8(cast(content as string))").alias("utf8"),
         F.expr("hex(cast(split_part(cast(content as string), '\\n', 1) as binary))").alias("header"),
     )
-    kinds: dict[tuple[bool, str], list[str]] = {}
-    for row in named.toLocalIterator():
-        kinds.setdefault((bool(row["utf8"]), row["header"]), []).append(row["path"])
-    if any(not utf8 for utf8, _ in kinds):
+    # a row a kind of file; the paths are those that the reader lists on the driver anyway
+    kinds = named.groupBy("utf8", "header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("utf8", "header").collect()
+    if any(not k["utf8"] for k in kinds):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    frames = [_csv(spark, paths, "UTF-8" if utf8 else "GB18030") for (utf8, _), paths in sorted(kinds.items())]
+    frames = [_csv(spark, k["paths"], "UTF-8" if k["utf8"] else "GB18030") for k in kinds]
     if not frames:
         raise ValueError(f"no CSV file at {path}")
     table = frames[0]
@@ -58,18 +57,32 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return table
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(source, line_no, line)`` of text files, which are read split by split.
+
+    The rows of a split stay in order in one task. Splits are counted, a prefix scan over the splits
+    of a file gives the lines before each, and a row adds its place in its split. So a file of any
+    size is read by many tasks, and only one row a split is shuffled.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+        F.col("value").alias("line"),
+    )
+    splits = lines.groupBy("source", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("source", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    line_no = (F.col("place") + F.col("shift") + 1).alias("line_no")
+    return lines.join(starts, ["source", "block"]).select("source", line_no, "line")
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Parsed JSON lines with file and line number; blank lines and # lines skipped.
 
-    ``row`` is null for a line that is not a JSON object. A file's lines are numbered
-    while it is read, so no shuffle is needed to know their order.
+    ``row`` is null for a line that is not a JSON object.
     """
-    whole = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source"), F.split("value", r"\r\n|\n|\r").alias("lines")
-    )
-    lines = whole.select("source", F.posexplode("lines").alias("pos", "line")).select(
-        "source", (F.col("pos") + 1).cast("long").alias("line_no"), strip("line").alias("line")
-    )
+    lines = numbered_lines(spark, path).withColumn("line", strip("line"))
     kept = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     is_object = F.col("line").startswith("{") & F.get_json_object("line", "$").isNotNull()
     return kept.select(

@@ -82,3 +82,35 @@ def test_each_csv_file_keeps_its_own_header(spark, tmp_path):
     (tmp_path / "b.csv").write_text("y,z\n3,4\n")
     rows = files.read_csv(spark, str(tmp_path)).select("x", "y", "z").collect()
     assert sorted(map(tuple, rows), key=str) == [("1", "2", None), (None, "3", "4")]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """Many splits of one file, several files, line ends of each kind, a last line without one."""
+    texts = {"a.jsonl": "".join(f"line {i} " + "x" * (i % 50) + "\n" for i in range(3000)), "b.jsonl": "one\r\n\r\nthree", "c.jsonl": "\n\n# no\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000", "7777", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = files.numbered_lines(spark, str(tmp_path))
+            assert size == before or rows.rdd.getNumPartitions() > 1
+            got = {}
+            for r in rows.collect():
+                got.setdefault(r["source"].rsplit("/", 1)[-1], []).append((r["line_no"], r["line"]))
+            for name, text in texts.items():
+                assert sorted(got[name]) == list(enumerate(text.splitlines(), 1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_the_last_line_of_an_id_wins_over_splits(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text("".join(f'{{"id": "q{i % 9}", "error": "e{i}"}}\n' for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+        last, bad = files.read_results(spark, str(tmp_path / "r.jsonl"))
+        assert {r["query_id"]: r["error"] for r in last.collect()} == {f"q{i % 9}": f"e{i}" for i in range(1991, 2000)}
+        assert bad.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
