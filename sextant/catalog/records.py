@@ -539,14 +539,14 @@ _FILES = """files AS (
     "task_list", "DOC1",
     with_ctes(
         _FILES, _BASES,
-        select="""SELECT 'job-' || doc_id AS task_id, CAST(f.doc_id AS VARCHAR) AS doc_id, file_name, coalesce(b.name, CAST(f.kb_id AS VARCHAR)) AS knowledge_base, status,
+        select="""SELECT f.tenant_id, 'job-' || doc_id AS task_id, CAST(f.doc_id AS VARCHAR) AS doc_id, file_name, coalesce(b.name, CAST(f.kb_id AS VARCHAR)) AS knowledge_base, status,
       CAST(CASE status WHEN 'success' THEN 100 WHEN 'failed' THEN 100 WHEN 'running' THEN 50 ELSE 0 END AS BIGINT) AS progress,
       coalesce(chunk_count, 0) AS chunk_count
-      FROM (SELECT * FROM files WHERE deleted = 0 AND tenant_id = 3 ORDER BY created_at DESC, doc_id LIMIT 100) f LEFT JOIN bases b ON b.kb_id = f.kb_id""",
+      FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, doc_id) AS newest FROM files WHERE deleted = 0) f LEFT JOIN bases b ON b.kb_id = f.kb_id WHERE newest <= 100""",
     ),
 )
 def task_list(spark, sf_dir):
-    return T.task_list(files(spark, sf_dir), bases(spark, sf_dir), 3)
+    return T.task_list(files(spark, sf_dir), bases(spark, sf_dir))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions.metadata import normalize_status
-from sextant.operators.ranking import best_per_key
+from sextant.operators.ranking import best_per_key, top_per_group
 
 # --- fixed values: roles and permissions ---
 PLATFORM_ADMIN = "admin"
@@ -243,16 +243,15 @@ def map_aliases(rows: DataFrame, column: str, aliases, value: str, condition: Co
 # --- document tasks ---
 
 
-def task_list(documents: DataFrame, bases: DataFrame, tenant_id, limit: int = 100) -> DataFrame:
-    """A tenant's newest tasks with base name and progress."""
-    newest = live(documents).filter(F.col("tenant_id") == tenant_id).orderBy(
-        F.col("created_at").desc(), F.col("doc_id")
-    ).limit(limit)
+def task_list(documents: DataFrame, bases: DataFrame, limit: int = 100) -> DataFrame:
+    """The newest tasks of each tenant with base name and progress."""
+    newest = top_per_group(live(documents), ["tenant_id"], [F.col("created_at").desc(), F.col("doc_id")], limit)
     names = bases.select("kb_id", F.col("name").alias("kb_name"))
     progress = F.lit(0)
     for status, value in PROGRESS.items():
         progress = F.when(F.col("status") == status, F.lit(value)).otherwise(progress)
     return newest.join(names, "kb_id", "left").select(
+        "tenant_id",
         F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("task_id"),
         F.col("doc_id").cast("string").alias("doc_id"),
         "file_name",
