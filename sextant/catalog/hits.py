@@ -6,6 +6,7 @@ can restate them; the retrieval queries at the end use the real ones.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sextant.catalog.base import DOCS, LINE_CHUNKS, QUESTIONS, documents, line_chunks, passage_matches, questions, table, with_ctes
@@ -418,6 +419,38 @@ def rerank_with_supplied_scores(spark, sf_dir):
     return R.rerank_with_scores(rows, scores, M.KEY).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "rerank_with_function",
+    "RRK5 UDF2",
+    with_ctes(
+        *_MERGED_CTES, _TEXTED, _OVERLAP_SCORE,
+        """windowed AS (SELECT *, CASE WHEN CAST(item_id AS BIGINT) % 3 = 0 THEN overlap ELSE (length(query) * 3 + length(text)) % 23 / 22.0 END AS raw
+  FROM overlap_rows WHERE position <= 40),
+gated AS (SELECT *, max(raw) OVER (PARTITION BY query_id) AS top_raw FROM windowed),
+blended AS (
+  SELECT *, CASE WHEN CAST(item_id AS BIGINT) % 3 <> 0 OR top_raw > 0 THEN round(0.45 * CASE WHEN max(score) OVER w = min(score) OVER w THEN 1
+      ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END
+    + 0.55 * CASE WHEN max(raw) OVER w = min(raw) OVER w THEN 1
+      ELSE (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) END, 9) ELSE score END AS final
+  FROM gated WINDOW w AS (PARTITION BY query_id)),
+reranked AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS rn FROM blended) WHERE rn <= 15)""",
+        select="SELECT query_id, chunk_id, round(CAST(final AS DOUBLE), 6) AS score FROM reranked",
+    ),
+)
+def rerank_with_function(spark, sf_dir):
+    """A function in Arrow batches scores query and text; it has no answer for every third item."""
+
+    @F.pandas_udf("double")
+    def model(query: pd.Series, text: pd.Series) -> pd.Series:
+        return (query.str.len() * 3 + text.str.len()) % 23 / 22.0
+
+    def scorer(query, text):
+        return F.when(F.split("query_id", "@")[0].cast("long") % 3 != 0, model(query, text))
+
+    return R.rerank_with_function(texted(spark, sf_dir), M.KEY, scorer).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query("rerank_prompts", "RRK6")
 def rerank_prompts(spark, sf_dir):
     return R.rerank_prompts(texted(spark, sf_dir), M.KEY).select("query_id", "n_passages", "prompt")

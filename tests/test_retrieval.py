@@ -1,9 +1,11 @@
 """The retrieval plans on a small corpus."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from sextant.catalog.base import passage_matches
 from sextant.plans import retrieval as P
+from sextant.settings import Settings
 
 DOCS = "tenant_id string, kb_id string, doc_id string, text string, file_name string, source_uri string, metadata map<string,string>"
 QUERY = "query_id string, tenant_id string, kb_id string, query string, top_k long, mode string, metadata_filter map<string,string>"
@@ -49,3 +51,20 @@ def test_short_passages_are_matched(spark):
     items = [(1, "one two three"), (2, "one two"), (3, "of"), (4, "x"), (5, ""), (6, "none of it and more words than that")]
     got = passage_matches(docs, spark.createDataFrame(items, "item_id int, text string")).collect()
     assert sorted(map(tuple, got)) == [(1, "a"), (1, "c"), (2, "a"), (2, "c"), (3, "b"), (4, "a")]
+
+
+def test_rerank_choices(spark, index):
+    queries = spark.createDataFrame([("q", "t", "k", "pumps need oil", 5, "keyword", None)], QUERY)
+
+    def found(**chosen):
+        rows = P.retrieve(queries, index, **chosen).collect()
+        return {r["doc_id"]: (r["rerank_method"] if "rerank_method" in r else None, r["score"]) for r in rows}
+
+    by_function = found(reranker=lambda query, text: F.when(text.contains("year"), 0.9).otherwise(0.1))
+    assert by_function["d2"][0] == "model" and by_function["d2"][1] > by_function["d1"][1]
+    # no answer of the function: words are compared
+    no_answer = found(reranker=lambda query, text: F.lit(None).cast("double"))
+    assert {d: round(s, 6) for d, (_, s) in no_answer.items()} == {d: round(s, 6) for d, (_, s) in found().items()}
+    off = found(settings=Settings(rerank_enabled=False))
+    # scores are those of the search then, and its threshold holds for them
+    assert off and off.keys() <= {"d1", "d2"} and all(method is None for method, _ in off.values())
