@@ -116,10 +116,10 @@ def test_near_words_of_hot_halves(spark, shard, limit):
     assert {w: r["n_near"] for w, r in got.items()} == {w: near for w, near, _ in want if near}
 
 
-def test_windows_shrink_until_no_key_is_hot(spark):
+def test_windows_shrink_until_no_key_is_hot_or_they_are_one_letter(spark):
     words = spark.createDataFrame([(w, n) for w, _, _, n, *_ in plain(docs())], "word string, n long")
     rows = spelling.refined(spelling.windows(words), 40)
-    hot = rows.groupBy("key").agg({"*": "count", "last": "max", "first": "min"}).filter("`count(1)` > 40").count()
+    hot = rows.filter("last - first > 1").groupBy("key").agg({"*": "count", "last": "max", "first": "min"}).filter("`count(1)` > 40").count()
     assert hot == 0 and spelling.windows(words).groupBy("key").count().filter("count > 40").count() > 0
 
 
