@@ -199,11 +199,17 @@ def near_duplicates(
     good = rows.filter(_fine(vector, label)).select(
         F.col(id).alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector")
     )
-    common = good.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    if common is None:
-        return _result(rows.select(F.col(id).alias("id"), F.lit(0).cast("long").alias("n"), F.col(id).alias("component")), id)
-    dims = common["dims"]
-    good = good.filter(F.size("vector") == dims)
+    lengths = [r["dims"] for r in good.select(F.size("vector").alias("dims")).distinct().orderBy("dims").collect()]
+    found = rows.filter(~_fine(vector, label)).select(
+        F.col(id).alias("id"), F.lit(0).cast("long").alias("n"), F.col(id).alias("component")
+    )
+    for dims in lengths:
+        found = found.union(_of_length(good.filter(F.size("vector") == dims), dims, cosine, min(blocks, dims)))
+    return _result(found, id)
+
+
+def _of_length(good: DataFrame, dims: int, cosine: float, blocks: int) -> DataFrame:
+    """``(id, n, component)`` for vectors that all have ``dims`` components."""
     nodes = store(
         good.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
         .withColumn("node", F.monotonically_increasing_id()),
@@ -238,13 +244,9 @@ def near_duplicates(
         F.col("label").alias("_label"), F.col("vector").alias("_vector"), "least",
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"),
     )
-    linked = good.join(ids, (F.col("label") == F.col("_label")) & (F.col("vector") == F.col("_vector"))).select(
+    return good.join(ids, (F.col("label") == F.col("_label")) & (F.col("vector") == F.col("_vector"))).select(
         "id", "n", F.col("least").alias("component")
     )
-    alone = rows.filter(~(_fine(vector, label) & (F.size(vector) == dims))).select(
-        F.col(id).alias("id"), F.lit(0).cast("long").alias("n"), F.col(id).alias("component")
-    )
-    return _result(linked.union(alone), id)
 
 
 def _result(rows: DataFrame, id: str) -> DataFrame:

@@ -171,3 +171,10 @@ def test_embeddings_that_link_with_nothing(spark):
         **{k: (4, 1, k == 1) for k in (1, 2, 3, 4)}, None: (4, 1, False), **{k: (0, k, True) for k in (5, 6, 7, 8, 10, 12, 13)}
     }
     assert embedding_blocks.near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_embeddings_of_several_lengths(spark):
+    rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0, 2.0, 0.0]), (4, [1.0, 2.0, 0.001]), (5, [3.0]), (6, [0.5]), (7, [-1.0])]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_blocks.near_duplicates(frame).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
