@@ -1,5 +1,7 @@
 """The retrieval plans on a small corpus."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +70,14 @@ def test_rerank_choices(spark, index):
     off = found(settings=Settings(rerank_enabled=False))
     # scores are those of the search then, and its threshold holds for them
     assert off and off.keys() <= {"d1", "d2"} and all(method is None for method, _ in off.values())
+
+
+def test_passages_of_long_texts_are_matched_in_linear_time(spark):
+    # a text was split again at each of its places: a minute for this one
+    body = " ".join(f"word{i}" for i in range(60_000))
+    docs = spark.createDataFrame([("a", body)], "doc_id string, text string")
+    items = [(1, "ord59990 word59991 word59992 word59993 word5999"), (2, "word1 word3 word5 word7"), (3, "59999")]
+    started = time.perf_counter()
+    got = passage_matches(docs, spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "a"), (3, "a")]
+    assert time.perf_counter() - started < 30
