@@ -99,14 +99,14 @@ def merge_channels(
     ) + exact_phrase_boost(F.col("phrases"), names, F.col("text"))
     if settings.metadata_boost_enabled:
         boosts = boosts + metadata_boost([field[n] for n in BOOST_FIELDS], settings.metadata_boost_weight)
+    # only the sum of floats is rounded here: a rounded normal score could round another way when it is shown
     combined = (
         F.when(F.col("mode") == "vector", v)
         .when(F.col("mode") == "keyword", k)
-        .otherwise(v * settings.vector_weight + k * settings.keyword_weight + boosts)
+        .otherwise(F.round(v * settings.vector_weight + k * settings.keyword_weight + boosts, 9))
     )
     scored = rows.select(
-        *KEY, "chunk_id", "doc_id", "parent_id", "top_k", "vector_score", "keyword_score",
-        F.round(combined, 9).alias("score"),
+        *KEY, "chunk_id", "doc_id", "parent_id", "top_k", "vector_score", "keyword_score", combined.alias("score"),
     )
     kept = top_per_group(
         scored, KEY, [F.col("score").desc(), F.col("chunk_id")], Q.candidate_window("top_k", settings),
