@@ -26,6 +26,11 @@ CHAPTER_HEAD = r"^第[一二三四五六七八九十百千万0-9]+[章节篇部
 # --- end of fixed values ---
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that it reads more than once: the one-element array makes the value once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def raw_tokens(value) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_col(value), F.lit(""))), F.lit(TOKEN), F.lit(0))
 
@@ -73,35 +78,44 @@ def strip_question_words(phrase) -> Column:
     """Remove openings and closings until nothing changes.
 
     Each round drops one opening (first of the list that fits) and one closing; every
-    round that matters shortens the phrase, so its length bounds the rounds.
+    round that matters shortens the phrase, so its length bounds the rounds. After a round
+    that changed nothing the others are skipped.
     """
     opening = "^(?:" + "|".join(QUESTION_PREFIXES) + ")"
     closing = "(?:" + "|".join(QUESTION_SUFFIXES) + r")\z"
-    start = collapse(phrase)
 
-    def one_round(text: Column, _i: Column) -> Column:
-        without_opening = strip(F.regexp_replace(text, opening, ""))
-        return strip(F.regexp_replace(without_opening, closing, ""))
+    def one_round(state: Column, _i: Column) -> Column:
+        without_opening = strip(F.regexp_replace(state["text"], opening, ""))
+        stripped = strip(F.regexp_replace(without_opening, closing, ""))
+        after = bound(stripped, lambda t: F.struct(t.alias("text"), (t != state["text"]).alias("again")))
+        return F.when(state["again"], after).otherwise(state)
+
+    def stripped_of(start: Column) -> Column:
+        first = F.struct(start.alias("text"), F.lit(True).alias("again"))
+        rounds = F.aggregate(F.sequence(F.lit(1), F.length(start) + 1), first, one_round, lambda s: s["text"])
+        return F.when(start.rlike(opening) | start.rlike(closing), rounds).otherwise(start)
 
-    touched = start.rlike(opening) | start.rlike(closing)
-    return F.when(
-        touched, F.aggregate(F.sequence(F.lit(1), F.length(start) + 1), start, one_round)
-    ).otherwise(start)
+    return bound(collapse(phrase), stripped_of)
 
 
 def phrase_candidates(phrase: Column) -> Column:
     """A phrase of four or more characters with its long pieces and variants."""
-    text = F.regexp_replace(phrase, r"^[ \-_/\\]+|[ \-_/\\]+\z", "")
-    dense = F.regexp_replace(text, rf"(?U){SPACE}+", "")
-    pieces = F.filter(F.split(text, rf"(?U){SPACE}+"), lambda p: F.length(p) >= 4)
-    after_head = F.regexp_extract(dense, CHAPTER_HEAD, 1)
-    extra = F.filter(
-        F.array(F.when(dense != text, dense), F.when(after_head != "", after_head)),
-        lambda x: x.isNotNull(),
-    )
-    return F.when(F.length(dense) >= 4, F.concat(F.array(text), pieces, extra)).otherwise(
-        F.array().cast("array<string>")
-    )
+
+    def of_text(text: Column) -> Column:
+        return bound(F.regexp_replace(text, rf"(?U){SPACE}+", ""), lambda dense: of_dense(text, dense))
+
+    def of_dense(text: Column, dense: Column) -> Column:
+        pieces = F.filter(F.split(text, rf"(?U){SPACE}+"), lambda p: F.length(p) >= 4)
+        after_head = F.regexp_extract(dense, CHAPTER_HEAD, 1)
+        extra = F.filter(
+            F.array(F.when(dense != text, dense), bound(after_head, lambda a: F.when(a != "", a))),
+            lambda x: x.isNotNull(),
+        )
+        return F.when(F.length(dense) >= 4, F.concat(F.array(text), pieces, extra)).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    return bound(F.regexp_replace(phrase, r"^[ \-_/\\]+|[ \-_/\\]+\z", ""), of_text)
 
 
 def phrase_terms(query) -> Column:

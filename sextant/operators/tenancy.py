@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.metadata import normalize_status
 from sextant.operators.ranking import best_per_key, top_per_group
+from sextant.session import dealt
 
 # --- fixed values: roles and permissions ---
 PLATFORM_ADMIN = "admin"
@@ -108,6 +109,9 @@ def check_access(requests: DataFrame, memberships: DataFrame) -> DataFrame:
 
 # --- knowledge bases ---
 
+#: Requests for all bases of a tenant that one block holds.
+ALL_BLOCK = 512
+
 
 def resolve_knowledge_bases(requests: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (request_id, tenant_id, kb_ref, kb_ids) to their knowledge bases.
@@ -133,16 +137,22 @@ def resolve_knowledge_bases(requests: DataFrame, bases: DataFrame) -> tuple[Data
     by_list = found.join(complete, "request_id", "left_semi").select("request_id", "tenant_id", "kb_id")
 
     single = cleaned.filter(F.size("ids") == 0)
-    everything = single.filter(F.lower("ref") == "all").join(known, "tenant_id").select("request_id", "tenant_id", "kb_id")
+    # a tenant's requests are cut into blocks, each of which meets its bases: the rows of a large tenant are made by many tasks
+    whole = single.filter(F.lower("ref") == "all").select("request_id", "tenant_id")
+    blocks = whole.groupBy("tenant_id").agg(F.ceil(F.count("*") / ALL_BLOCK).cast("int").alias("__n"))
+    asking = whole.join(blocks, "tenant_id").withColumn("__b", F.pmod(F.xxhash64("request_id"), F.col("__n")).cast("int"))
+    offered = known.join(blocks, "tenant_id").select("tenant_id", "kb_id", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__b"))
+    block = ["tenant_id", "__b"]
+    everything = dealt(asking, block).join(dealt(offered, block), block).select("request_id", "tenant_id", "kb_id")
     one = single.filter(F.lower("ref") != "all")
     by_id = one.withColumnRenamed("ref", "kb_id").join(known, ["tenant_id", "kb_id"]).select(
         "request_id", "tenant_id", "kb_id"
     )
     unmatched = one.join(by_id.select("request_id"), "request_id", "left_anti")
-    named = unmatched.withColumnRenamed("ref", "name").join(known, ["tenant_id", "name"]).select(
-        "request_id", "tenant_id", "kb_id"
-    )
-    by_name = named.groupBy("request_id", "tenant_id").agg(F.min(F.struct(F.length("kb_id"), "kb_id")).alias("k")).select(
+    # a name stands for its first base, so a request meets one row of it
+    names = known.groupBy("tenant_id", "name").agg(F.min(F.struct(F.length("kb_id").alias("n"), "kb_id")).alias("k"))
+    named = unmatched.withColumnRenamed("ref", "name").join(names, ["tenant_id", "name"])
+    by_name = named.groupBy("request_id", "tenant_id").agg(F.min("k").alias("k")).select(
         "request_id", "tenant_id", F.col("k.kb_id").alias("kb_id")
     )
     resolved = by_list.unionByName(everything).unionByName(by_id).unionByName(by_name)
