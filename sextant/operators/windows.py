@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from sextant.operators.ranking import top_per_group
 
 CHUNK_WINDOWS = 64
+#: Events that a group of keys holds on average.
+GROUP_ROWS = 50_000
 
 
 def window_starts(times: np.ndarray, length: int, deadline: int) -> np.ndarray:
@@ -34,63 +36,90 @@ def window_starts(times: np.ndarray, length: int, deadline: int) -> np.ndarray:
     return starts
 
 
+def _slices(*keys: np.ndarray) -> list[slice]:
+    """Runs of rows with equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    starts = np.flatnonzero(new)
+    return [slice(a, b) for a, b in zip(starts, np.append(starts[1:], len(new)))]
+
+
 def _summarise(length: int, chunk: int):
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["t"].to_numpy())
+    def one(times: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
         after = np.searchsorted(times, times + length)
         exits = np.empty(len(times), dtype=np.int64)
         for i in range(len(times) - 1, -1, -1):
             exits[i] = times[i] + length if after[i] == len(times) else exits[after[i]]
         # a window running into the chunk ends within one length of the chunk's start
-        number = int(pdf["chunk"].iloc[0])
         reach = min(int(np.searchsorted(times, number * chunk + length)) + 1, len(times))
         bounds, ends = times[:reach], exits[:reach]
         last_of_run = np.append(ends[1:] != ends[:-1], True)
+        return bounds[last_of_run], ends[last_of_run]
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "chunk", "t"])
+        keys, numbers, times = (pdf[c].to_numpy() for c in ("key", "chunk", "t"))
+        parts = _slices(keys, numbers)
+        steps = [one(times[p], int(numbers[p.start])) for p in parts]
+        firsts = [p.start for p in parts]
         return pd.DataFrame(
-            {"key": [pdf["key"].iloc[0]], "chunk": [number], "bounds": [bounds[last_of_run]], "ends": [ends[last_of_run]]}
+            {"key": keys[firsts], "chunk": numbers[firsts], "bounds": [b for b, _ in steps], "ends": [e for _, e in steps]}
         )
 
     return summarise
 
 
 def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("chunk")
-    deadline, entries = np.iinfo(np.int64).min // 2, []
-    for bounds, ends in zip(pdf["bounds"], pdf["ends"]):
-        entries.append(deadline)
-        at = int(np.searchsorted(bounds, deadline))
-        deadline = int(ends[at]) if at < len(bounds) else deadline
+    pdf = pdf.sort_values(["key", "chunk"])
+    entries = []
+    for part in _slices(pdf["key"].to_numpy()):
+        deadline = np.iinfo(np.int64).min // 2
+        for bounds, ends in zip(pdf["bounds"].iloc[part], pdf["ends"].iloc[part]):
+            entries.append(deadline)
+            at = int(np.searchsorted(bounds, deadline))
+            deadline = int(ends[at]) if at < len(bounds) else deadline
     return pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "deadline": entries})
 
 
 def _resolve(length: int):
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        starts = window_starts(pdf["t"].to_numpy(), length, int(pdf["deadline"].iloc[0]))
-        return pd.DataFrame({"key": pdf["key"], "t": pdf["t"], "window_start": starts})
+        pdf = pdf.sort_values(["key", "chunk", "t"])
+        times, deadlines = pdf["t"].to_numpy(), pdf["deadline"].to_numpy()
+        parts = _slices(pdf["key"].to_numpy(), pdf["chunk"].to_numpy())
+        starts = [window_starts(times[p], length, int(deadlines[p.start])) for p in parts]
+        return pd.DataFrame({"key": pdf["key"], "t": times, "window_start": np.concatenate(starts)})
 
     return resolve
 
 
 def anchored_windows(events: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
-    """Events with the start (in microseconds) of the window each one falls into."""
+    """Events with the start (in microseconds) of the window each one falls into; those without a key go.
+
+    Most keys have few events, so a Python group holds the chunks of many keys.
+    """
     length = seconds * 1_000_000
     chunk = length * CHUNK_WINDOWS
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     timed = events.withColumn("__t", micros)
+    groups = max(1, -(-events.count() // GROUP_ROWS))
     # equal times of a key are one point
-    points = timed.select(F.col(key).alias("key"), F.col("__t").alias("t")).distinct().withColumn(
-        "chunk", F.floor(F.col("t") / chunk).cast("long")
+    points = (
+        timed.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col("__t").alias("t")).distinct()
+        .withColumn("chunk", F.floor(F.col("t") / chunk).cast("long"))
     )
     kind = points.schema["key"].dataType.simpleString()
-    summary = points.groupBy("key", "chunk").applyInPandas(
+
+    def grouped(rows: DataFrame, *keys: str):
+        return rows.groupBy(F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("group"))
+
+    summary = grouped(points, "key", "chunk").applyInPandas(
         _summarise(length, chunk), f"key {kind}, chunk long, bounds array<long>, ends array<long>"
     )
-    entries = summary.groupBy("key").applyInPandas(_compose, f"key {kind}, chunk long, deadline long")
-    starts = (
-        points.join(entries, ["key", "chunk"])
-        .groupBy("key", "chunk")
-        .applyInPandas(_resolve(length), f"key {kind}, t long, window_start long")
+    entries = grouped(summary, "key").applyInPandas(_compose, f"key {kind}, chunk long, deadline long")
+    starts = grouped(points.join(entries, ["key", "chunk"]), "key", "chunk").applyInPandas(
+        _resolve(length), f"key {kind}, t long, window_start long"
     )
     return timed.join(
         starts, (timed[key].eqNullSafe(starts["key"])) & (timed["__t"] == starts["t"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sextant.functions import lexical as L
 from sextant.operators import keyword as K
 from sextant.operators import tenancy as T
+from sextant.operators import windows as W
 
 
 def test_long_phrase_is_stripped_in_linear_time(spark):
@@ -57,3 +58,15 @@ def test_pairs_are_scored_in_blocks(spark, monkeypatch):
     # the pairs leave the blocks as they are: no match of a term is a row
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("FlatMapCoGroupsInArrow")
+
+
+def test_windows_of_many_short_keys(spark):
+    # each key and chunk was a Python group of its own, three times
+    events = spark.range(60_000).select(
+        F.col("id").alias("event_id"), (F.col("id") % 20_000).cast("string").alias("user"),
+        F.timestamp_seconds((F.floor(F.col("id") / 20_000) * 40).cast("double")).alias("ts"),
+    )
+    started = time.perf_counter()
+    rows = W.rate_limit(events, "user", "ts", "event_id", 60, 1).groupBy(F.floor(F.col("event_id") / 20_000).alias("at"), "allowed").count().collect()
+    assert time.perf_counter() - started < 20
+    assert sorted(map(tuple, rows)) == [(0, True, 20_000), (1, False, 20_000), (2, True, 20_000)]
