@@ -78,7 +78,7 @@ fulltext_top AS (
     ),
 )
 def fulltext_candidates(spark, sf_dir):
-    index = K.build_keyword_index(store(whole_documents(spark, sf_dir), "chunks"), words=False)
+    index = K.build_keyword_index(store(whole_documents(spark, sf_dir), "chunks"))
     found = K.fulltext_candidates(store(phrase_questions(spark, sf_dir), "questions"), index)
     return found.select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -106,7 +106,7 @@ like_top AS (
     ),
 )
 def like_candidates(spark, sf_dir):
-    index = K.build_keyword_index(store(child_chunks(spark, sf_dir), "chunks"), tokens=False)
+    index = K.build_keyword_index(store(child_chunks(spark, sf_dir), "chunks"))
     found = K.like_candidates(store(questions(spark, sf_dir), "questions"), index)
     return found.select("query_id", "kb_id", "chunk_id", "score")
 
@@ -131,7 +131,7 @@ switched AS (
 )
 def like_fallback_switch(spark, sf_dir):
     asked = store(phrase_questions(spark, sf_dir), "questions")
-    index = K.build_keyword_index(store(whole_documents(spark, sf_dir), "chunks"), words=False)
+    index = K.build_keyword_index(store(whole_documents(spark, sf_dir), "chunks"))
     return K.needs_like_search(asked, K.fulltext_candidates(asked, index)).select("query_id")
 
 
