@@ -11,6 +11,7 @@ from sextant.functions import questions as Q
 from sextant.functions.metadata import BOOST_FIELDS, metadata_boost
 from sextant.functions.strings import normalize_query
 from sextant.operators.ranking import best_per_key, min_max_over, top_per_group
+from sextant.session import store
 from sextant.settings import DEFAULTS, Settings
 
 KEY = ["query_id", "tenant_id", "kb_id"]
@@ -78,14 +79,16 @@ def merge_channels(
         )
 
     merged = normalised(vector, "vector").join(normalised(keyword, "keyword"), [*KEY, "chunk_id"], "full_outer")
+    # stored, so that its size is known and the texts need no shuffle for a small one
+    merged = store(merged, "merged-channels")
     # phrases are made once per query, not once per candidate
     asked = queries.select(*KEY, "mode", "top_k", dense_phrases("query").alias("phrases"))
-    rows = merged.join(asked, KEY).join(
+    rows = merged.join(
         chunks.select(
             "tenant_id", "kb_id", "chunk_id", "doc_id", "parent_id", "file_name", "page", "metadata", "text"
         ),
         ["tenant_id", "kb_id", "chunk_id"],
-    )
+    ).join(asked, KEY)
     v, k = F.coalesce("vector_score", F.lit(0.0)), F.coalesce("keyword_score", F.lit(0.0))
     field = {
         "file_name": F.col("file_name"),
@@ -253,13 +256,18 @@ def expand_to_parents(
 
 
 def attach_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Join the text, names and parent text of a bounded set of hits."""
+    """Join the text, names and parent text of a bounded set of hits.
+
+    The hits are stored, so that their size is known; the parents are cut to theirs before the join.
+    """
+    hits = store(hits, "hits")
     details = chunks.select(
         "tenant_id", "kb_id", "chunk_id", "doc_id", "text", "file_name", "source_uri", "page", "metadata"
     )
     parents = chunks.filter(F.col("chunk_type") == "parent").select(
         "tenant_id", "kb_id", "parent_id", F.col("text").alias("parent_text")
     )
+    parents = parents.join(hits.select("tenant_id", "kb_id", "parent_id"), ["tenant_id", "kb_id", "parent_id"], "left_semi")
     return (
         hits.join(details, ["tenant_id", "kb_id", "chunk_id"])
         .join(parents, ["tenant_id", "kb_id", "parent_id"], "left")

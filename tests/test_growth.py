@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from sextant.operators import fusion
 from sextant.functions import lexical as L
 from sextant.operators import keyword as K
 from sextant.operators import tenancy as T
@@ -70,3 +71,16 @@ def test_windows_of_many_short_keys(spark):
     rows = W.rate_limit(events, "user", "ts", "event_id", 60, 1).groupBy(F.floor(F.col("event_id") / 20_000).alias("at"), "allowed").count().collect()
     assert time.perf_counter() - started < 20
     assert sorted(map(tuple, rows)) == [(0, True, 20_000), (1, False, 20_000), (2, True, 20_000)]
+
+
+def test_hits_meet_texts_without_a_shuffle_of_the_texts(spark):
+    """A few hits go to the texts; parents of no hit go nowhere."""
+    chunks = spark.range(40).selectExpr(
+        "'t' tenant_id", "'k' kb_id", "cast(id as string) chunk_id", "cast(id % 4 as string) doc_id", "cast(id % 4 as string) parent_id",
+        "if(id < 4, 'parent', 'child') chunk_type", "concat('text ', id) text", "'f' file_name", "'s' source_uri", "cast(null as int) page", "map('a', 'b') metadata",
+    ).rdd.toDF(schema="tenant_id string, kb_id string, chunk_id string, doc_id string, parent_id string, chunk_type string, text string, "
+               "file_name string, source_uri string, page int, metadata map<string,string>")
+    hits = chunks.filter("chunk_id in ('7', '9')").selectExpr("'q' query_id", "tenant_id", "kb_id", "chunk_id", "parent_id")
+    found = fusion.attach_texts(hits, chunks)
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 2
+    assert sorted((r["chunk_id"], r["text"], r["parent_text"]) for r in found.collect()) == [("7", "text 7", "text 3"), ("9", "text 9", "text 1")]
