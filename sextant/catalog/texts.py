@@ -76,8 +76,8 @@ FROM marked WHERE before IS NULL OR before <> k GROUP BY {key}"""
     "WITH source AS (SELECT doc_id, text FROM documents), " + normalize_sql("source", "doc_id", UNTIDY).strip(),
 )
 def normalize_recognised_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", untidy(F.col("text")).alias("text"))
-    return docs.select("doc_id", S.normalize_lines("text").alias("text")).filter("text <> ''")
+    docs = table(spark, sf_dir, "documents").filter(S.has_text("text")).select("doc_id", untidy(F.col("text")).alias("text"))
+    return docs.select("doc_id", S.normalize_lines("text").alias("text"))
 
 
 @query(
@@ -86,8 +86,8 @@ def normalize_recognised_lines(spark, sf_dir):
     "WITH source AS (SELECT doc_id, text FROM documents), " + normalize_sql("source", "doc_id", CJK_SQL).strip(),
 )
 def normalize_cjk_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", cjk(F.col("text")).alias("text"))
-    return docs.select("doc_id", S.normalize_lines("text").alias("text")).filter("text <> ''")
+    docs = table(spark, sf_dir, "documents").filter(S.has_text("text")).select("doc_id", cjk(F.col("text")).alias("text"))
+    return docs.select("doc_id", S.normalize_lines("text").alias("text"))
 
 
 @query(

@@ -87,6 +87,11 @@ def normalize_lines(value) -> Column:
     return strip(F.array_join(bound, "\n"))
 
 
+def has_text(value) -> Column:
+    """Whether a text has anything but blanks. Its normalised lines are not empty then; asking those would make them twice."""
+    return _col(value).rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
 def join_unique_texts(values) -> Column:
     """Blank-line join of normalised texts, first of each key kept."""
     items = F.filter(F.transform(_col(values), normalize_lines), lambda x: x != "")

@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from sextant.catalog import texts as catalog_texts
 from sextant.operators import fusion
 from sextant.functions import lexical as L
 from sextant.operators import keyword as K
@@ -84,3 +85,13 @@ def test_hits_meet_texts_without_a_shuffle_of_the_texts(spark):
     found = fusion.attach_texts(hits, chunks)
     assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 2
     assert sorted((r["chunk_id"], r["text"], r["parent_text"]) for r in found.collect()) == [("7", "text 7", "text 3"), ("9", "text 9", "text 1")]
+
+
+def test_lines_are_normalised_once(spark, tmp_path):
+    """The filter for texts without lines reads the raw text, not lines made for it alone."""
+    texts = ["a  b\n\nA b", " \n\t", "", None, "　", "\x1f", "合 同", "\x00", "the "]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (catalog_texts.normalize_cjk_lines, catalog_texts.normalize_recognised_lines):
+        found = query(spark, str(tmp_path))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("array_join") == 1
+        assert sorted(r["doc_id"] for r in found.collect()) == [0, 6, 7, 8]
