@@ -3,8 +3,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from test_duplicates import groups
 
+from sextant.llm import near_copies
+
 
 def plain_shingles(text):
     w = (text or "").encode().lower().split()
@@ -45,3 +48,41 @@ def test_stage_of_chains_and_boilerplate(spark):
     got = stage(spark, docs)
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(plain_kept(rows))
     assert stage(spark, docs.limit(0)).collect() == []
+
+
+def test_large_texts_with_a_common_passage_are_not_verified_whole(spark, monkeypatch):
+    rng = random.Random(3)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    passages = [words(60) for _ in range(2)]
+    rows = [(k, " ".join([*words(1500), *passages[k % 2], *words(1500)])) for k in range(16)]
+    stem = words(400)
+    for k in range(16, 24):  # a family about the threshold
+        at = rng.randrange(330)
+        rows.append((k, " ".join([*stem[:at], *words(30), *stem[at + 30 :]])))
+    docs, made = spark.createDataFrame(rows, "doc_id long, text string"), []
+    real, none = near_copies.store, np.empty(0, np.int64)
+
+    def counted(table, purpose):
+        out = real(table, purpose)
+        made.extend([out.count()] if purpose == "shingle-sets" else [])
+        return out
+
+    monkeypatch.setattr(near_copies, "store", counted)
+    # in a large table, a passage of few texts is not seen in the sample
+    monkeypatch.setattr(near_copies, "common_shingles", lambda *_: (none, none))
+    got = near_copies.near_duplicates(docs).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] == r["component_id"]) == sorted(plain_kept(rows))
+    assert sum(made) <= 16 and max(made) <= 8
+
+
+def test_bitmaps_of_two_widths(spark):
+    found = near_copies.shingles(" ".join(f"w{k}" for k in range(1030)))
+    small, large = near_copies.bitmap(found[:1020]), near_copies.bitmap(found)
+    assert 2 * len(small) == len(large) and len(near_copies.bitmap(found[:0])) * 64 == near_copies.BITS
+    words = [f"w{k}" for k in range(1040)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:1020])), (2, " ".join(words[:800]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in stage(spark, docs).collect()} == plain_kept(rows) == {0, 2}
