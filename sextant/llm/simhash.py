@@ -159,5 +159,7 @@ def keep_first(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """
     groups = near_duplicates(docs) if groups is None else groups
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    # structs of null are equal: so one key serves the join and the grouping, and texts are shuffled once
+    keyed = docs.withColumn("_key", F.struct("doc_id"))
+    kept = keyed.join(first.select(F.struct("doc_id").alias("_key")), "_key", "left_semi")
+    return kept.dropDuplicates(["_key", "text"]).select(*docs.columns)

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 from test_duplicates import groups
 
-from sextant.llm import near_copies
+from sextant.llm import near_copies, simhash
 
 
 def plain_shingles(text):
@@ -86,3 +86,22 @@ def test_bitmaps_of_two_widths(spark):
     rows = [(0, " ".join(words)), (1, " ".join(words[:1020])), (2, " ".join(words[:800]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in stage(spark, docs).collect()} == plain_kept(rows) == {0, 2}
+
+
+def test_texts_are_shuffled_once_to_keep_the_first(spark):
+    rows = [(1, "a b"), (1, "a b"), (2, "a b"), (3, "c"), (None, "d"), (None, "d"), (None, "e"), (1, "f"), (4, None), (4, None)]
+    groups = [(1, 1), (1, 1), (2, 1), (3, 3), (None, None), (4, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.keep_first(docs, spark.createDataFrame(groups, "doc_id long, component_id long"))
+    want = [(1, "a b"), (1, "f"), (3, "c"), (4, None), (None, "d"), (None, "e")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    large = spark.range(10).selectExpr("id AS doc_id", "string(id) AS text").repartition(2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_first(large, spark.range(10).selectExpr("id AS doc_id", "id AS component_id").repartition(2))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning(_key") == 2 and ", text#" not in "".join(
+        x for x in plan.splitlines() if "Exchange hashpartitioning" in x
+    )
