@@ -163,7 +163,7 @@ def ingest_stream(spark, sf_dir):
     # the named files, each whole; one in five is not there
     inbox, number = shared_dir(spark, "inbox"), F.col("doc_id").cast("long")
     docs.filter((number % 7 == 3) & (number % 35 != 3)).select("doc_id", "text").write.partitionBy("doc_id").text(inbox)
-    files = spark.read.schema("value string, doc_id string").option("wholetext", True).text(inbox)
+    files = spark.read.schema("value string, doc_id string").text(inbox, wholetext=True)
     files = files.select(F.concat(F.lit("in/"), "doc_id", F.lit(".txt")).alias("path"), F.col("value").alias("text"))
     messages = spark.readStream.schema("value string").parquet(queue)
     I.start_ingest(messages, tables, shared_dir(spark, "ingest-marks"), files=files).awaitTermination()

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sextant.catalog import streams as catalog_streams
 from sextant.operators import storage as S
 from sextant.operators.chunking import chunk_rows
 from sextant.operators import windows as W
@@ -174,3 +175,16 @@ def test_ingested_rows_equal_the_chunks_of_the_documents(spark, tmp_path):
     got = tables.indexed.read(spark)
     assert sorted(map(tuple, got.select("doc_id", "chunk_id", "text").collect())) == sorted(map(tuple, want))
     assert got.filter("chunk_type = 'child' AND vector IS NULL AND text RLIKE '[a-z]'").count() == 0
+
+
+def test_named_files_of_the_ingest_query_are_whole(spark, tmp_path, monkeypatch):
+    # the text of a file was one of its lines
+    texts = {10: "Pumps need oil.\nThey run all day.\nOil is checked.", 11: "An inline text.\nIts second line."}
+    docs = spark.createDataFrame([(i, t, "en", "web") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept, start = [], I.start_ingest
+    monkeypatch.setattr(I, "start_ingest", lambda m, tables, marks, files: kept.append(tables) or start(m, tables, marks, files=files))
+    rows = catalog_streams.ingest_stream(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in rows} == {(str(i), True, True, False) for i in texts}
+    parents = kept[0].chunks(spark).filter("chunk_type = 'parent'").select("doc_id", "text").collect()
+    assert {int(i): t for i, t in parents} == texts
