@@ -27,16 +27,16 @@ def page_readings(lines: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         cleaned.select(*PAGE, "key", "line_no", "text", "score"), [*PAGE, "key"], [F.col("line_no")]
     )
     pages = firsts.groupBy(*PAGE).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n"
-        ).alias("joined"),
-        F.avg("score").alias("avg_confidence"),
+        F.sort_array(F.collect_list(F.struct("line_no", "text", "score"))).alias("lines"),
         F.min("score").alias("min_confidence"),
         F.count("*").alias("line_count"),
     )
+    # scores are added in the order of the lines: the last digit of a sum of doubles hangs on it, and a mean may be the limit
+    total = F.aggregate("lines", F.lit(0.0), lambda acc, x: acc + x["score"])
+    pages = pages.withColumn("avg_confidence", total / F.col("line_count"))
     return pages.select(
         *PAGE,
-        normalize_lines("joined").alias("text"),
+        normalize_lines(F.array_join(F.transform("lines", lambda x: x["text"]), "\n")).alias("text"),
         "avg_confidence",
         "min_confidence",
         "line_count",
