@@ -142,7 +142,8 @@ def normalize_question_texts(spark, sf_dir):
 )
 def first_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", untidy(F.col("text")).alias("text"))
-    return docs.select("doc_id", S.first_line("text").alias("title"))
+    # a text without a line has no title
+    return docs.select("doc_id", F.nullif(S.first_line("text"), F.lit("")).alias("title"))
 
 
 # completions: the first sentence of a message is put into a reasoning block; the block

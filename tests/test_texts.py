@@ -1,6 +1,26 @@
+import sys
+from pathlib import Path
+
+import duckdb
 from pyspark.sql import functions as F
 
-from sextant.operators import pages as P
+ROOT = Path(__file__).resolve().parents[1]
+sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
+
+from __spark_entry__ import oracle_sql, queries  # noqa: E402
+from sextant.operators import pages as P  # noqa: E402
+
+
+def test_a_text_without_lines_has_no_title(spark, tmp_path):
+    # the title was empty, which the SQL has as null
+    texts = ["", " \n \t", None, "\n First \nSecond", "x" * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = sorted(con.execute(oracle_sql()["first_lines"]).fetchall())
+    assert [t for _, t in wanted] == [None, None, None, "First", "x" * 160]
+    assert sorted(tuple(r) for r in queries()["first_lines"](spark, str(tmp_path)).collect()) == wanted
 
 
 def test_scores_of_a_page_are_added_in_the_order_of_its_lines(spark):
