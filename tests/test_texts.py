@@ -1,7 +1,10 @@
+import hashlib
 import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -9,6 +12,7 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from sextant.operators import pages as P  # noqa: E402
+from sextant.operators import vector_search as N  # noqa: E402
 
 
 def test_a_text_without_lines_has_no_title(spark, tmp_path):
@@ -42,3 +46,20 @@ def _plain_sum(values):
     for x in values:
         total += x
     return total
+
+
+def test_texts_are_embedded_by_distinct_tokens_of_each(monkeypatch):
+    # a few texts at a time, and none at all; a token counts once in a text, and one without tokens has no vector
+    monkeypatch.setattr(N, "EMBEDDED", 2)
+    tokens = [["oil", "pump", "a-b"], [], ["oil"], ["条款条", "条款", "款条", "条款条", "x1"], ["pump", "oil"]]
+    texts = ["oil pump a-b oil", " !", "oil", "条款条x1", "pump\n,oil"]
+    run = N._hashed_texts(64)
+    got = run(pa.array(texts)).to_pylist()
+    for words, vector in zip(tokens, got):
+        total = np.zeros(64)
+        for word in set(words):
+            digest = hashlib.sha1(word.encode()).digest()
+            total[int.from_bytes(digest[:4], "big") % 64] += 1 if digest[4] < 128 else -1
+        size = np.sqrt((total * total).sum())
+        assert vector == ((total / size).astype(np.float32).tolist() if size else None)
+    assert len(run(pa.array([], pa.string()))) == 0
